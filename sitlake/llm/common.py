@@ -115,3 +115,27 @@ def space_words(text: Column) -> Column:
     """Array of the runs of non-space; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+", -1))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_sitlake_shipped", False):
+        return
+    import shutil
+    import tempfile
+
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    own = os.path.realpath(tempfile.mkdtemp(prefix="sitlake"))  # the driver's copy, which Spark serves to executors
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    staged = os.path.join(own, "tree", os.path.basename(package))
+    shutil.copytree(package, staged, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(os.path.join(own, "sitlake_pkg"), "zip", os.path.join(own, "tree")))
+    context._sitlake_shipped = True
+
+
+def shared_fs(uri: str):
+    """(pyarrow file system, path) of a URI in the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", uri))
