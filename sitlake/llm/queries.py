@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read, scratch_dir, space_words
 from .decontaminate import decontaminate
+from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .mixing import mix
 from .quality_rules import quality_rules
@@ -44,6 +45,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of each document; copies are linked too."""
+    return jaccard_join(read(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", "class_id", "copy_class", "n_links")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets per document, base findings counted and hashed."""
     found = secret_scan(read(spark, sf_dir, "documents"), columns=["doc_id"])
@@ -88,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op3_token_files": op3_token_files,
         "op4_decontaminate": op4_decontaminate,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_secret_scan": op6_secret_scan,
         "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
