@@ -9,6 +9,7 @@ bounded size, and each slice is one more narrow step over the same rows.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,6 +30,8 @@ class LeakRules:
     slice_windows: int = 100_000
     #: A document is contaminated if this times its hit words reach its words.
     hit_factor: int = 20
+    #: Whether clean_text, the text without its hits, is wanted; else it is null.
+    cut: bool = False
 
 
 def _windows(rules: LeakRules):
@@ -84,6 +87,16 @@ def hits(words: list[bytes], prefix: dict, grams: dict[bytes, list]) -> tuple[li
     return spans, items
 
 
+def without_spans(text: str, spans: list[dict]) -> str:
+    """A text without the words of spans and what stands between them."""
+    words = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    out, at = [], 0
+    for s in spans:
+        out.append(text[at : words[s["start"]][0]])
+        at = words[s["end"] - 1][1]
+    return "".join([*out, text[at:]])
+
+
 def _joined(window_slice, names: list[str], at_text: int, last: bool, rules: LeakRules):
     """One slice's windows against whole documents; state of slices before comes and goes as columns."""
     import hashlib
@@ -115,18 +128,19 @@ def _joined(window_slice, names: list[str], at_text: int, last: bool, rules: Lea
                 merged.append([{"start": int(a), "end": int(b)} for a, b in turn.reshape(-1, 2)])
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in out_items]
             dirty = [h > 0 and rules.hit_factor * h >= n for h, n in zip(n_hit, n_words, strict=True)]
+            clean = [without_spans(t, m) if m else t for t, m in zip(batch.column(at_text).to_pylist(), merged, strict=True)] if rules.cut else [None] * len(merged)
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             results = [
                 pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in out_items], pa.int64()),
-                pa.array(digest, pa.string()), pa.array(dirty, pa.bool_()), pa.array(merged, span), pa.array(out_items, pa.list_(pa.string())),
+                pa.array(digest, pa.string()), pa.array(dirty, pa.bool_()), pa.array(merged, span), pa.array(out_items, pa.list_(pa.string())), pa.array(clean, pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*columns, *results], names=[*names, *RESULTS])
 
     return run
 
 
-RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "item_ids")
-_RESULT_TYPES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:int,end:int>>, item_ids array<string>"
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "item_ids", "clean_text")
+_RESULT_TYPES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:int,end:int>>, item_ids array<string>, clean_text string"
 
 
 def window_slices(docs: DataFrame, benchmark: DataFrame, rules: LeakRules, text: str, item: str) -> list:
@@ -155,7 +169,7 @@ def window_slices(docs: DataFrame, benchmark: DataFrame, rules: LeakRules, text:
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", item_text: str = "text", item: str = "item_id", rules: LeakRules = LeakRules(), columns: list[str] | None = None
 ) -> DataFrame:
-    """docs (or the named columns) with n_words, n_hit, n_items, items_sha256, contaminated, hit_spans, item_ids.
+    """docs (or the named columns) with n_words, n_hit, n_items, items_sha256, contaminated, hit_spans, item_ids, clean_text.
 
     Null and empty texts have no words and no windows.  A null item id counts as the id ''.  Items that
     repeat an id count once; equal items all count.  Equal rows get equal results; an empty table on

@@ -68,9 +68,13 @@ def mix(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", size:
     """
     new = ("source_size", "target", "copies", "taken")
     keep = [c for c in sized.columns if c not in new]
-    docs = stored(
-        sized.select(F.struct(*keep).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col(size).cast("long").alias("_size")), "sized"
-    )
+    rows = stored(
+        sized.select(
+            F.struct(*keep).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col(size).cast("long").alias("_size"),
+            F.monotonically_increasing_id().alias("_no"),
+        ), "sized",
+    )
+    docs = rows.drop("_row")
     sizes = docs.groupBy(F.col("_source").alias("src")).agg(F.sum("_size").alias("size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(sizes, "src", rules).withColumnRenamed("size", "source_size")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -94,9 +98,8 @@ def mix(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", size:
     start = F.col("_ahead") + F.coalesce(F.sum("_size").over(within), F.lit(0))
     extra = (start + F.col("_size") / 2.0 <= F.col("rest")) & (F.col("rest") > 0)
     copies = F.least(F.col("sure") + F.when(extra, 1).otherwise(0), F.lit(rules.most)).cast("long")
-    return ranked.withColumn("_copies", copies).select(
-        "_row.*", "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken")
-    )
+    chosen = ranked.withColumn("copies", copies).select(F.col("_no").alias("_at"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    return rows.select("_row", "_no").join(chosen, F.col("_no") == F.col("_at")).select("_row.*", *new)
 
 
 def level(rules: MixRules) -> Column:

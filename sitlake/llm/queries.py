@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read, scratch_dir, space_words
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_join
+from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix
 from .quality_rules import quality_rules
@@ -32,6 +33,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License mentions of each document."""
+    out = license_scan(read(spark, sf_dir, "documents"), columns=["doc_id"])
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of each document's ids, read back from the token files."""
     rules = TokenRules(tokenizer=tokenizer_path("word_bpe_49k.json"))
@@ -92,6 +99,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_license_scan": op2_license_scan,
         "op3_token_files": op3_token_files,
         "op4_decontaminate": op4_decontaminate,
         "op5_jaccard_join": op5_jaccard_join,
