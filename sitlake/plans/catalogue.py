@@ -5,15 +5,177 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.constants import KEPT_CHECKS, SNOOZE
+from ..functions.scores import PART_NAMES
+from ..operators import baseline, metrics, rollups, scoring, settings, streaks
+from ..sources import tables
+from ..streaming import session
+from . import sql
+
+#: Days on which dashboards are read, and late enough for retention to bite.
+ASOF, LATE = "2024-01-30", "2024-04-15"
+DAY_COLUMNS = ["user_id", "day", "total_checks", "good_checks", "fair_checks", "poor_checks", "total_score", "average_score"]
+
+
+def _users(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table(spark, d, "events").select("user_id").distinct()
+
+
+def _streaks(spark: SparkSession, d: str) -> DataFrame:
+    return streaks.with_streaks(tables.checks(spark, d))
+
+
+def _days(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.daily_summary(tables.checks(spark, d))
+
+
+def _stored_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings that users changed, made from click events."""
+    n = F.col("event_id")
+    kind = n % 4
+    key = F.when(kind == 0, "check_interval_seconds").when(kind == 1, "alert_mode").when(kind == 2, "blur_intensity").otherwise("notify_on_poor")
+    mode = F.when(n % 3 == 0, "blur").when(n % 3 == 1, "bananas").otherwise("notification")
+    off = F.when((n % 2 == 1) & (n % 3 == 0), "false").otherwise("true")
+    value = F.when(kind == 0, (10 + n % 290).cast("string")).when(kind == 1, mode).when(kind == 2, (n % 10).cast("string")).otherwise(off)
+    return tables.events(spark, d).filter("event_type = 'click'").select("user_id", n.alias("seq"), "ts", key.alias("key"), value.alias("value"))
+
+
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    return settings.effective_settings(_users(spark, d), _stored_settings(spark, d))
+
+
+def _calibrations(spark: SparkSession, d: str) -> DataFrame:
+    """Calibrations that users took, made from view events."""
+    role = F.when(F.col("event_id") % 2 == 0, "front").otherwise("side")
+    rows = tables.events(spark, d).filter("event_type = 'view' AND value IS NOT NULL")
+    return rows.select("user_id", role.alias("role"), F.col("ts").alias("calibrated_at"), F.col("event_id").alias("seq"), F.round("value", 6).alias("mean"))
+
+
+def _calibrated(spark: SparkSession, d: str) -> DataFrame:
+    return baseline.wide_baseline(tables.frames(spark, d, "front"), "front").select("user_id")
+
+
+def _evaluated(spark: SparkSession, d: str, *roles: str) -> DataFrame:
+    each = {}
+    for role in roles:
+        frames = tables.frames(spark, d, role)
+        each[role] = scoring.measured(frames, frames, role)
+    return scoring.evaluated(each.get("front"), each.get("side"))
+
+
+def frames_scan(spark: SparkSession, d: str) -> DataFrame:
+    both = tables.frames(spark, d, "front").unionByName(tables.frames(spark, d, "side"))
+    return both.select("user_id", "frame_id", "role", "width", "height")
+
+
+def pose_frames(spark: SparkSession, d: str) -> DataFrame:
+    poses = metrics.pose_frames(tables.frames(spark, d, "front"), tables.frames(spark, d, "side"))
+    nose = [F.round(F.col(role)[0]["x"], 6).alias(f"{role}_nose_x") for role in ("front", "side")]
+    return poses.select("user_id", "frame_id", *nose)
+
+
+def confident_keypoints(spark: SparkSession, d: str) -> DataFrame:
+    both = tables.frames(spark, d, "front").unionByName(tables.frames(spark, d, "side"))
+    rows = metrics.confident_keypoints(both)
+    return rows.select("user_id", "frame_id", "role", "landmark", *[F.round(c, 6).alias(c) for c in ("x", "y", "score")])
+
+
+def _long_baselines(spark: SparkSession, d: str) -> DataFrame:
+    return baseline.long_baseline(tables.frames(spark, d, "front"), "front").unionByName(baseline.long_baseline(tables.frames(spark, d, "side"), "side"))
+
+
+def calibration_failures(spark: SparkSession, d: str) -> DataFrame:
+    each = [baseline.failed_calibrations(tables.frames(spark, d, role), role) for role in ("front", "side")]
+    return each[0].unionByName(each[1])
+
+
+def front_side_combined(spark: SparkSession, d: str) -> DataFrame:
+    """How many components each role gives to a check; the roles are joined on the check."""
+    rows = _evaluated(spark, d, "front", "side")
+
+    def count(role: str):
+        return F.size(F.filter("parts", lambda p: p["metric"].isin(*PART_NAMES[role])))
+
+    return rows.select("user_id", "frame_id", count("front").alias("front_parts"), count("side").alias("side_parts"))
+
+
+def posture_score(spark: SparkSession, d: str) -> DataFrame:
+    """Scores that reach the state and the rollups: those of checks with at least one component."""
+    return _evaluated(spark, d, "front", "side").filter("score IS NOT NULL").select("user_id", "frame_id", "score", "status")
+
+
+def alerts(spark: SparkSession, d: str) -> DataFrame:
+    shown = _settings(spark, d).select("user_id", F.col("alert_mode").alias("_mode"), "notify_on_poor")
+    rows = _streaks(spark, d).join(shown, "user_id").filter("notify_on_poor = 'true'")
+    return streaks.alerts(rows, F.col("_mode"))
+
+
+def streaks_by_session(spark: SparkSession, d: str) -> DataFrame:
+    stops = tables.controls(spark, d).filter("kind = 'stop'")
+    return streaks.with_streaks(streaks.monitoring_sessions(tables.checks(spark, d), stops), ("user_id", "session_id"))
+
+
+def snooze_filter(spark: SparkSession, d: str) -> DataFrame:
+    return streaks.without_snoozed(tables.checks(spark, d), tables.controls(spark, d).filter("kind = 'snooze'"), SNOOZE)
+
+
+def status_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return settings.status_snapshot(_settings(spark, d), streaks.latest_status(tables.checks(spark, d)), _calibrated(spark, d))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return posture_score(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def days(rows: DataFrame) -> DataFrame:
+        return rows.select(*DAY_COLUMNS)
+
+    return {
+        "frames_scan": frames_scan,
+        "pose_frames": pose_frames,
+        "confident_keypoints": confident_keypoints,
+        "front_metrics": lambda s, d: metrics.wide_metrics(tables.frames(s, d, "front"), "front"),
+        "side_metrics": lambda s, d: metrics.wide_metrics(tables.frames(s, d, "side"), "side"),
+        "baseline": lambda s, d: _long_baselines(s, d).drop("stddev"),
+        "baseline_stddev": lambda s, d: _long_baselines(s, d).drop("mean"),
+        "calibration_latest": lambda s, d: baseline.latest_calibration(_calibrations(s, d)),
+        "calibration_failures": calibration_failures,
+        "eligible_users": lambda s, d: settings.eligible(_users(s, d), _calibrated(s, d)),
+        "uncalibrated_users": lambda s, d: settings.uncalibrated(_users(s, d), _calibrated(s, d)),
+        "front_scores": lambda s, d: _evaluated(s, d, "front").drop("parts"),
+        "side_scores": lambda s, d: _evaluated(s, d, "side").drop("parts"),
+        "front_side_combined": front_side_combined,
+        "score_breakdown": lambda s, d: scoring.exploded(_evaluated(s, d, "front", "side")),
+        "posture_score": posture_score,
+        "score_status_all": lambda s, d: _evaluated(s, d, "front", "side").groupBy("status").agg(F.count(F.lit(1)).alias("n")),
+        "checks": tables.checks,
+        "status_distribution": lambda s, d: rollups.status_distribution(tables.checks(s, d)),
+        "streaks": _streaks,
+        "streaks_by_session": streaks_by_session,
+        "alerts": alerts,
+        "latest_alert": lambda s, d: streaks.latest_alert(_streaks(s, d)),
+        "recoveries": lambda s, d: streaks.recoveries(_streaks(s, d)),
+        "overlay_state": lambda s, d: streaks.overlay_state(_streaks(s, d)),
+        "current_streak": lambda s, d: streaks.current_streak(_streaks(s, d), ASOF),
+        "latest_status": lambda s, d: streaks.latest_status(tables.checks(s, d)),
+        "snooze_filter": snooze_filter,
+        "daily_summary": lambda s, d: days(_days(s, d)),
+        "hourly_summary": lambda s, d: rollups.hourly_summary(tables.checks(s, d)),
+        "hourly_summary_compat": lambda s, d: rollups.hourly_summary_compat(tables.checks(s, d)),
+        "recent_checks": lambda s, d: rollups.recent_checks(tables.checks(s, d), KEPT_CHECKS),
+        "recent_checks_short": lambda s, d: rollups.recent_checks(tables.checks(s, d), 20),
+        "retained_days": lambda s, d: days(rollups.retained_days(_days(s, d), LATE)),
+        "today_stats": lambda s, d: rollups.today_stats(_days(s, d), ASOF),
+        "seven_day_chart": lambda s, d: rollups.seven_day_chart(_users(s, d), _days(s, d), ASOF),
+        "settings_effective": _settings,
+        "status_snapshot": status_snapshot,
+        "stream_session": lambda s, d: session.run_sessions(s, f"{d}/events.parquet"),
+        "stream_daily": lambda s, d: days(session.run_daily(s, f"{d}/events.parquet")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle(ASOF, LATE)
