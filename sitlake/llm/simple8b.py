@@ -31,8 +31,11 @@ def _selectors(values: np.ndarray, block: int) -> np.ndarray:
         with_next = max(n - size // 2, 0)
         out[:with_next] = np.maximum(half[:with_next], half[size // 2 :][:with_next])
         top[size] = out
+    fitting = np.cumsum(np.bincount(need, minlength=ESCAPE + 1))
     for s in range(len(COUNTS) - 1, -1, -1):
         c = int(COUNTS[s])
+        if fitting[s] < c:  # too few small values for even one such word
+            continue
         p = 1 << (c.bit_length() - 1)
         p = min(p, 32)
         most = top[p]

@@ -16,8 +16,8 @@ _ODD = re.compile("[\x1c-\x1f]")
 _ASCII_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 #: A run of non-space with the one space before it, or space as the byte-level rule cuts it.
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Entries of a memo before it starts anew; about 250 bytes each.
-MEMO = 300_000
+#: Entries of each of a memo's two generations; about 200 bytes each.
+MEMO = 350_000
 
 
 def _tokenizer(path: str):
@@ -30,14 +30,20 @@ def _tokenizer(path: str):
 
 
 class _Memo(dict):
+    """Values by key in two generations: a full one becomes the old one, and what is used again moves back."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
