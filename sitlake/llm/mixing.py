@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions alone.
 
 Each source's target gives whole copies of every document for certain, and a rest of words.  The rest
-is a fixed-size sample: documents are ranked by random odds over inclusion odds, and the head of that
-order is taken whose words come nearest to the rest.
+is a fixed-size sample, its size in words as targets are: documents are ranked by random odds over
+inclusion odds, and the head of that order is taken that fits the rest; what the next document is too
+long for goes to the documents after it that are not.
 """
 
 from __future__ import annotations
@@ -89,17 +90,33 @@ def mix(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", size:
     q = F.when(p >= 1.0, F.lit(0.0)).when(p <= 0.0, F.lit(1e300)).otherwise((u / (1 - u)) / (p / (1 - p)))
     bucket = F.floor(F.least(F.col("_q") / (1 + F.col("_q")), F.lit(1.0 - 1e-12)) * F.ceil(F.col("n") / rules.bucket_rows))
     ranked = docs.withColumn("_q", q).withColumn("_bucket", bucket)
-    # words in the buckets before, from sums of buckets; then an order within each bucket
+    ranked = ranked.select("_no", "src", "_id", "_size", "_q", "_bucket", "rest", "sure", "source_size", "target")
+    first = stored(ranked.withColumn("_rest", F.col("rest")).transform(head, True).drop("_rest"), "first")
+    # what the first document that does not fit leaves open goes to the next ones in order that do
+    gaps = first.groupBy(F.col("src").alias("_gs")).agg((F.max("rest") - F.sum(F.when(F.col("_in"), F.col("_size")).otherwise(0))).alias("_rest"))
+    left = with_small(first.filter(~F.col("_in")).drop("_in"), stored(gaps, "gaps"), F.col("src").eqNullSafe(F.col("_gs")), "inner")
+    second = left.filter((F.col("_size") > 0) & (F.col("_size") <= F.col("_rest"))).transform(head, False).filter("_in").select(F.col("_no").alias("_also"))
+    both = first.join(second, F.col("_no") == F.col("_also"), "left")
+    extra = F.when(F.col("_in") & (F.col("rest") > 0) | F.col("_also").isNotNull(), 1).otherwise(0)
+    copies = F.least(F.col("sure") + extra, F.lit(rules.most)).cast("long")
+    chosen = both.withColumn("copies", copies).select(F.col("_no").alias("_at"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+    return rows.select("_row", "_no").join(chosen, F.col("_no") == F.col("_at")).select("_row.*", *new)
+
+
+def head(ranked: DataFrame, whole: bool) -> DataFrame:
+    """ranked with _in: whether a row is in the head of its source's order whose words reach _rest.
+
+    whole: only rows that end within _rest; else also one whose middle does.  Words of the buckets before
+    come from sums of buckets, so a source is ordered in tasks of about a bucket each.
+    """
     sums = ranked.groupBy(F.col("src").alias("_bs"), F.col("_bucket").alias("_bb")).agg(F.sum("_size").alias("_sum"))
     ahead = Window.partitionBy("_bs").orderBy("_bb").rowsBetween(Window.unboundedPreceding, -1)
     sums = stored(sums.select("_bs", "_bb", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead")), "buckets")
-    ranked = with_small(ranked, sums, F.col("src").eqNullSafe(F.col("_bs")) & (F.col("_bucket") == F.col("_bb")))
+    rows = with_small(ranked, sums, F.col("src").eqNullSafe(F.col("_bs")) & (F.col("_bucket") == F.col("_bb")), "inner")
     within = Window.partitionBy("src", "_bucket").orderBy("_q", F.col("_id").asc_nulls_first(), "_size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_ahead") + F.coalesce(F.sum("_size").over(within), F.lit(0))
-    extra = (start + F.col("_size") / 2.0 <= F.col("rest")) & (F.col("rest") > 0)
-    copies = F.least(F.col("sure") + F.when(extra, 1).otherwise(0), F.lit(rules.most)).cast("long")
-    chosen = ranked.withColumn("copies", copies).select(F.col("_no").alias("_at"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
-    return rows.select("_row", "_no").join(chosen, F.col("_no") == F.col("_at")).select("_row.*", *new)
+    part = F.col("_size") if whole else F.col("_size") / 2.0
+    return rows.withColumn("_in", start + part <= F.col("_rest")).drop("_bs", "_bb", "_ahead")
 
 
 def level(rules: MixRules) -> Column:

@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan, written
+from .sql import SQL
 from .token_counts import CountRules, token_counts
 from .token_files import TokenRules, read_tokens, write_tokens
 from .warc import read_warc, write_warc
@@ -54,7 +55,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of each document; copies are linked too."""
-    return jaccard_join(read(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", "class_id", "copy_class", "n_links")
+    return jaccard_join(read(spark, sf_dir, "documents"), columns=["doc_id"]).select("doc_id", "class_id", "n_links")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
