@@ -39,8 +39,9 @@ class JoinRules:
     tolerance: float = 1e-6
     #: MinHash values compared in a step.
     step: int = 16
-    #: Classes in a block, about.
-    block: int = 64
+    #: A block holds about so many bytes of sets, and about so many classes at most.
+    block_bytes: int = 1 << 20
+    block: int = 512
     seed: int = 20231
 
 
@@ -106,15 +107,17 @@ def _classes(rules: JoinRules, names: list[str]):
     def run(batches):
         by, seen, at = _multipliers(rules), set(), len(names)
         for batch in batches:
-            digests, bands = [], []
+            digests, bands, sizes = [], [], []
             for words in _word_lists(batch.column(at)):
                 g = shingles(words, rules.words)
                 d = _digest(g) if len(g) else None
                 digests.append(d)
+                sizes.append(len(g))
                 bands.append(None if d is None or d in seen else _bands(g, by, rules))
                 seen.add(d)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(at)], pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=[*names, "class", "bands"]
+                [*[batch.column(i) for i in range(at)], pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                names=[*names, "class", "bands", "size"],
             )
 
     return run
@@ -161,8 +164,9 @@ def overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     width, edges = int((count > 1).sum()), np.cumsum([0, *map(len, sets)])
     columns = [slot[inverse[a:b]] for a, b in zip(edges, edges[1:], strict=False)]
     total = np.zeros((len(sets), len(sets)))
-    for lo in range(0, width, 16_384):
-        hi = min(lo + 16_384, width)
+    slab = max(256, (1 << 22) // len(sets))
+    for lo in range(0, width, slab):
+        hi = min(lo + slab, width)
         matrix = np.zeros((len(sets), hi - lo), np.float32)
         for k, own in enumerate(columns):
             matrix[k, own[(own >= lo) & (own < hi)] - lo] = 1
@@ -219,8 +223,11 @@ def _compared(rules: JoinRules):
             alive = matched >= least
             i, j, matched = i[alive], j[alive], matched[alive]
         # compared here only if this is the smallest pivot they share
-        mine = np.array([np.intersect1d(pivots[x], pivots[y])[0] == pivot for x, y in zip(i, j, strict=True)], bool)
-        i, j = (i[mine], j[mine]) if len(i) else (i, j)
+        lower = np.array([p[0] < pivot for p in pivots], bool)
+        mine = ~(lower[i] & lower[j])
+        for k in np.flatnonzero(~mine):
+            mine[k] = np.intersect1d(pivots[i[k]], pivots[j[k]])[0] == pivot
+        i, j = i[mine], j[mine]
         both = overlaps(grams, np.stack([i, j], axis=1)) if len(i) else np.zeros(0, np.int64)
         linked = both >= rules.threshold * (sizes[i] + sizes[j] - both) - 1e-9
         i, j = i[linked], j[linked]
@@ -285,10 +292,10 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ru
         F.struct(*keep).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_text"),
         F.monotonically_increasing_id().alias("_no"), word_hashes(F.col(text)).alias("_words"),
     )
-    schema = T.StructType([*source.drop("_words").schema.fields, T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*source.drop("_words").schema.fields, T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
     rows = stored(source.mapInArrow(_classes(rules, names), schema), "classes")
     known = rows.filter(F.col("class").isNotNull())
-    classes = stored(known.groupBy("class").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("copies")), "copies")
+    classes = stored(known.groupBy("class").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")), "copies")
     bands = known.filter(F.col("bands").isNotNull()).select(F.xxhash64("class").alias("h"), F.explode("bands").alias("band")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     links = class_links(texts, classes, candidate_groups(bands), rules)
@@ -328,12 +335,13 @@ def candidate_groups(bands: DataFrame) -> DataFrame:
 
 def class_links(texts: DataFrame, classes: DataFrame, groups: DataFrame, rules: JoinRules) -> DataFrame:
     """Stored rows (class, other, n_links): counts of a class's links in each unit (other null), and edges."""
-    members = stored(classes.join(groups, F.xxhash64("class") == F.col("h")).select("class", "first", "copies", "pivots"), "members")
+    members = stored(classes.join(groups, F.xxhash64("class") == F.col("h")).select("class", "first", "copies", "size", "pivots"), "members")
     wanted = members.select(F.col("first").alias("_first")).distinct()
     near = texts.join(F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted, F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
     sets = near.select(word_hashes(F.col("_text")).alias("_words")).mapInArrow(_grams_of(rules), "class binary, grams binary")
-    each = members.select("class", F.explode("pivots").alias("pivot"))
-    blocks = each.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / rules.block).cast("int").alias("blocks"))
+    each = members.select("class", "size", F.explode("pivots").alias("pivot"))
+    by_bytes, by_count = F.ceil(F.sum(F.col("size") * 8) / rules.block_bytes), F.ceil(F.count(F.lit(1)) / rules.block)
+    blocks = each.groupBy("pivot").agg(F.greatest(by_bytes, by_count).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("class", F.lit(rules.seed)), F.col("blocks")).cast("int")
     units = each.join(blocks, "pivot").withColumn("block", own).select("class", "pivot", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     units = units.select("class", "pivot", "block", F.least("block", "with").alias("first_block"), F.greatest("block", "with").alias("second_block"))
