@@ -49,13 +49,21 @@ def latest_alert(streaks: DataFrame) -> DataFrame:
     return streaks.filter("alert").groupBy("user_id").agg(one).select("user_id", "x.*")
 
 
-def overlay_state(streaks: DataFrame, mode: str = "blur", auto_remove: bool = True) -> DataFrame:
-    """Whether an overlay shows after each check: an alert turns it on, another check turns it off if auto_remove."""
-    so_far = Window.partitionBy("user_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+def overlay_state(streaks: DataFrame, mode: str = "blur", auto_remove: bool = True, removals: DataFrame | None = None) -> DataFrame:
+    """Whether an overlay shows after each check.
+
+    An alert turns it on, another check turns it off if auto_remove, and so does any row of ``removals``
+    (user_id, seq, ts): dismissals, buttons and stops, which come before checks of the same instant.
+    """
     turn = F.when(F.col("alert"), mode in ("blur", "bananas"))
     if auto_remove:
         turn = turn.when(F.col("status") != "poor", False)
-    return streaks.select("user_id", "seq", "ts", F.coalesce(F.last(turn, ignorenulls=True).over(so_far), F.lit(False)).alias("overlay_active"))
+    rows = streaks.select("user_id", "seq", "ts", turn.alias("_turn"), F.lit(1).alias("_check"))
+    if removals is not None:
+        rows = rows.unionByName(removals.select("user_id", "seq", "ts", F.lit(False).alias("_turn"), F.lit(0).alias("_check")))
+    so_far = Window.partitionBy("user_id").orderBy("ts", "_check", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    shown = F.coalesce(F.last("_turn", ignorenulls=True).over(so_far), F.lit(False))
+    return rows.withColumn("overlay_active", shown).filter("_check = 1").drop("_turn", "_check")
 
 
 def current_streak(streaks: DataFrame, asof: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import KEPT_CHECKS, SNOOZE
 from ..functions.scores import PART_NAMES
-from ..operators import baseline, metrics, rollups, scoring, settings, streaks
+from ..operators import baseline, metrics, presentation, rollups, scoring, settings, streaks
 from ..sources import tables
 from ..streaming import session
 from . import sql
@@ -125,6 +125,42 @@ def status_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return settings.status_snapshot(_settings(spark, d), streaks.latest_status(tables.checks(spark, d)), _calibrated(spark, d))
 
 
+def overlay_with_controls(spark: SparkSession, d: str) -> DataFrame:
+    return streaks.overlay_state(_streaks(spark, d), removals=tables.controls(spark, d))
+
+
+def side_source(spark: SparkSession, d: str) -> DataFrame:
+    """Local side frames of two checks in three, the phone's of every second check."""
+    frames = tables.frames(spark, d, "side")
+    rows = tables.side_source(frames.filter("frame_id % 3 <> 0"), frames.filter("frame_id % 2 = 0"))
+    return rows.select("user_id", "frame_id", "source", F.round(F.col("keypoints")[0]["x"], 6).alias("nose_x"))
+
+
+def check_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """When each user is due; a signup stands for "fixed it"."""
+    fixed = tables.controls(spark, d).filter("kind = 'stop'")
+    return presentation.schedule(tables.checks(spark, d), _settings(spark, d), fixed)
+
+
+def camera_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers stand for devices: every third has no label, every fifth is no camera."""
+    n = F.col("s_suppkey")
+    kind = F.when(n % 5 == 0, "audioinput").otherwise("videoinput")
+    devices = tables.table(spark, d, "supplier").select(F.concat(F.lit("device-"), n.cast("string")).alias("device_id"), F.when(n % 3 == 0, "").otherwise(F.col("s_name")).alias("label"), kind.alias("kind"))
+    return settings.camera_labels(devices)
+
+
+def delivery_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Pages in windows of ten; every fourth page is a closed one."""
+    pages = tables.table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 4 == 0, "about:blank").otherwise(F.col("url")).alias("url"), F.floor(F.col("page_id") / 10).alias("screen"))
+    return presentation.delivery_target(pages, "screen")
+
+
+def next_check(spark: SparkSession, d: str) -> DataFrame:
+    now = F.lit(ASOF).cast("timestamp")
+    return status_snapshot(spark, d).select("user_id", presentation.countdown(F.col("next_check_at"), now).alias("seconds"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posture_score(spark, sf_dir)
 
@@ -159,6 +195,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "latest_alert": lambda s, d: streaks.latest_alert(_streaks(s, d)),
         "recoveries": lambda s, d: streaks.recoveries(_streaks(s, d)),
         "overlay_state": lambda s, d: streaks.overlay_state(_streaks(s, d)),
+        "overlay_with_controls": overlay_with_controls,
+        "side_source": side_source,
+        "check_schedule": check_schedule,
+        "camera_labels": camera_labels,
+        "delivery_targets": delivery_targets,
+        "next_check": next_check,
+        "score_ring": lambda s, d: presentation.score_ring(tables.checks(s, d)),
         "current_streak": lambda s, d: streaks.current_streak(_streaks(s, d), ASOF),
         "latest_status": lambda s, d: streaks.latest_status(tables.checks(s, d)),
         "snooze_filter": snooze_filter,

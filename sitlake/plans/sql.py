@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.constants import CALIBRATION_FRAMES, DEFAULTS, FRONT_METRICS, KEPT_CHECKS, LANDMARKS, METRICS, MIN_PERIOD, SNOOZE
+from ..functions.constants import CALIBRATION_FRAMES, DEFAULTS, KEPT_CHECKS, LANDMARKS, METRICS, MIN_PERIOD, SNOOZE
 from ..sources.tables import REACH, TEMPLATE
 
 CHECKS = """checks AS (
@@ -211,6 +211,13 @@ def oracle(asof: str, late: str) -> dict[str, str]:
         "latest_alert": f"WITH {BY_USER} SELECT user_id, seq, ts, score FROM streaks WHERE alert QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) = 1",
         "recoveries": f"WITH {BY_USER} SELECT user_id, seq, ts, 'praise' AS kind, score FROM streaks WHERE recovery",
         "overlay_state": f"WITH {BY_USER} SELECT user_id, seq, ts, coalesce(last_value(CASE WHEN alert THEN true WHEN status <> 'poor' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), false) AS overlay_active FROM streaks",
+        "overlay_with_controls": f"WITH {BY_USER}, turns AS (SELECT user_id, seq, ts, CASE WHEN alert THEN true WHEN status <> 'poor' THEN false END AS turn, 1 AS chk FROM streaks UNION ALL SELECT user_id, event_id, ts, false, 0 FROM events WHERE event_type IN ('signup', 'purchase')) SELECT user_id, seq, ts, overlay_active FROM (SELECT *, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, chk, seq ROWS UNBOUNDED PRECEDING), false) AS overlay_active FROM turns) WHERE chk = 1",
+        "side_source": f"{frames}, CASE WHEN vec_id % 3 <> 0 THEN 'local' ELSE 'phone' END AS source, round(360 + 120.0 * embedding[1]::DOUBLE, 6) AS nose_x FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0",
+        "check_schedule": f"WITH {settings()}, {CHECKS}, l AS (SELECT user_id, max(ts) AS last FROM checks GROUP BY user_id), f AS (SELECT user_id, max(ts) AS fixed FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT user_id, greatest(check_interval_seconds::INTEGER, {MIN_PERIOD}) AS period_seconds, least(last + to_seconds(greatest(check_interval_seconds::INTEGER, {MIN_PERIOD})), CASE WHEN coalesce(fixed >= last, fixed IS NOT NULL) THEN fixed + to_seconds(10) END) AS due_at FROM settings LEFT JOIN l USING (user_id) LEFT JOIN f USING (user_id)",
+        "camera_labels": "SELECT 'device-' || s_suppkey AS device_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Camera ' || substr('device-' || s_suppkey, 1, 8) ELSE s_name END AS label FROM supplier WHERE s_suppkey % 5 <> 0",
+        "delivery_targets": "WITH p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'about:blank' ELSE url END AS url, CAST(floor(page_id / 10) AS BIGINT) AS screen FROM pages), g AS (SELECT screen, arg_min(url, page_id) AS f, arg_min(url, page_id) FILTER (regexp_matches(url, '^https?://')) AS w FROM p GROUP BY screen) SELECT screen, CASE WHEN NOT regexp_matches(f, '^(chrome|chrome-extension|edge|about|devtools):') THEN f ELSE w END AS url FROM g",
+        "next_check": f"WITH {settings()}, {CHECKS}, {latest} SELECT user_id, greatest(0, CAST(round((epoch_us(last_check_at) + greatest(check_interval_seconds::INTEGER, {MIN_PERIOD}) * 1000000 - epoch_us(TIMESTAMP '{asof} 00:00:00')) / 1e6) AS INTEGER)) AS seconds FROM settings LEFT JOIN latest USING (user_id)",
+        "score_ring": f"WITH {CHECKS} SELECT user_id, seq, CASE status WHEN 'good' THEN 'Good' WHEN 'fair' THEN 'Fair' ELSE 'Poor' END AS label, {colour} AS colour, round(2 * pi() * 52 - score / 100 * (2 * pi() * 52), 6) AS dash_offset FROM checks",
         "current_streak": f"WITH {BY_USER} SELECT user_id, streak_type, streak_started_at, minutes, CASE WHEN minutes < 60 THEN minutes || 'm' ELSE (minutes // 60) || 'h' || (minutes % 60) || 'm' END AS shown FROM (SELECT user_id, status AS streak_type, streak_started_at, CAST(round((epoch_us(TIMESTAMP '{asof} 00:00:00') - epoch_us(streak_started_at)) / 60e6) AS BIGINT) AS minutes FROM streaks QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) = 1)",
         "latest_status": f"WITH {CHECKS}, {latest} SELECT * FROM latest",
         "snooze_filter": f"WITH {CHECKS} SELECT user_id, seq, ts, score, status FROM checks c WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'purchase' AND e.user_id = c.user_id AND e.ts <= c.ts AND epoch_us(c.ts) - epoch_us(e.ts) < {SNOOZE * 1_000_000})",
@@ -228,5 +235,3 @@ def oracle(asof: str, late: str) -> dict[str, str]:
     }
     return out
 
-
-assert FRONT_METRICS

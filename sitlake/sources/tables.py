@@ -69,3 +69,12 @@ def frames(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("label").cast("long").alias("user_id"), F.col("vec_id").alias("frame_id"), F.lit(role).alias("role"), F.lit(640).alias("width"), F.lit(480).alias("height"), keypoints.alias("keypoints")
     )
+
+
+def side_source(local: DataFrame, phone: DataFrame) -> DataFrame:
+    """Side frames: the local camera's, else the phone's of the same check."""
+    keys = ["user_id", "frame_id"]
+    a = local.select(*keys, F.col("keypoints").alias("_local"))
+    b = phone.select(*keys, F.col("keypoints").alias("_phone"))
+    used = F.when(F.col("_local").isNotNull(), "local").otherwise("phone")
+    return a.join(b, keys, "full").select(*keys, used.alias("source"), F.coalesce("_local", "_phone").alias("keypoints"))

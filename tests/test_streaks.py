@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sitlake.operators import rollups, settings, streaks
+from sitlake.operators import presentation, rollups, settings, streaks
+from sitlake.sources.tables import POINT, side_source
 
 T0 = dt.datetime(2024, 1, 1, 10, 0)
 SCORES = {"good": 90, "fair": 50, "poor": 10}
@@ -132,3 +133,35 @@ def test_camera_labels(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], CHECK)
     assert streaks.with_streaks(none).isEmpty() and rollups.daily_summary(none).isEmpty() and rollups.recent_checks(none).isEmpty()
+
+
+def test_removals_turn_the_overlay_off(spark):
+    rows = streaks.with_streaks(checks(spark, "poor", "poor", "poor"))
+    off = spark.createDataFrame([(1, 50, T0 + dt.timedelta(seconds=120))], "user_id long, seq long, ts timestamp")
+    got = streaks.overlay_state(rows, auto_remove=False, removals=off).orderBy("seq").collect()
+    assert [r["overlay_active"] for r in got] == [False, True, True]
+    quiet = streaks.with_streaks(checks(spark, "poor", "poor", "fair"))
+    got = streaks.overlay_state(quiet, auto_remove=False, removals=off).orderBy("seq").collect()
+    assert [r["overlay_active"] for r in got] == [False, True, False]
+
+
+def test_delivery_target(spark):
+    rows = [(1, 1, "about:blank"), (1, 2, "https://a/"), (2, 3, "file:///x"), (3, 4, "chrome://x"), (3, 5, None)]
+    pages = spark.createDataFrame(rows, "w long, page_id long, url string")
+    got = {r["w"]: r["url"] for r in presentation.delivery_target(pages, "w").collect()}
+    assert got == {1: "https://a/", 2: "file:///x", 3: None}
+
+
+def test_recheck_comes_before_the_period(spark):
+    users = spark.createDataFrame([(1, "60")], "user_id long, check_interval_seconds string")
+    fixed = spark.createDataFrame([(1, T0 + dt.timedelta(seconds=20))], "user_id long, ts timestamp")
+    assert presentation.schedule(checks(spark, "poor"), users, fixed).first()["due_at"] == T0 + dt.timedelta(seconds=30)
+    assert presentation.schedule(checks(spark, "poor"), users, fixed.filter("false")).first()["due_at"] == T0 + dt.timedelta(seconds=60)
+
+
+def test_side_source_prefers_the_local_camera(spark):
+    def frames(*ids):
+        return spark.createDataFrame([(1, i, [(float(i), 0.0, 1.0)]) for i in ids], f"user_id long, frame_id long, keypoints array<{POINT}>")
+
+    got = {r["frame_id"]: r["source"] for r in side_source(frames(1, 2), frames(2, 3)).collect()}
+    assert got == {1: "local", 2: "local", 3: "phone"}
