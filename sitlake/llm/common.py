@@ -43,7 +43,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(root)
-    return root if re.match(r"\w+:/", root) else f"file://{os.path.abspath(root)}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)  # a path without a scheme is the default file system's
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/+", "file:///", full)
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
@@ -53,10 +55,15 @@ def scratch_dir(spark: SparkSession, what: str) -> str:
     return path
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Remove scratch tables once no lazy result needs them."""
+def scratch_paths() -> set[str]:
+    """Scratch folders that are there now."""
+    return {path for _, path in _scratch}
+
+
+def release(paths: set[str] | None = None) -> None:
+    """Remove scratch folders, by default all, once no lazy result needs them."""
     for owner, path in list(_scratch):
-        if spark is None or owner is spark:
+        if paths is None or path in paths:
             _scratch.remove((owner, path))
             jvm = owner.sparkContext._jvm
             if jvm is None or owner.sparkContext._jsc.sc().isStopped():
@@ -98,6 +105,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def range_count(spark: SparkSession, rows: int, most_rows: int, least_rows: int = 1024) -> int:
+    """Ranges to deal rows out to: of most_rows each, but as many as shuffles have where rows are few."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // most_rows), min(usual, -(-rows // least_rows)))
+
+
+def few_rows(batches, rows: int = 256):
+    """The same rows in smaller batches, so Python holds objects for a few rows only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

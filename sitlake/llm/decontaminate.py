@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, stored, words_of
+from .common import few_rows, ship, stored, words_of
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def _counts(vocabulary):
 
     def run(batches):
         known, total = vocabulary.value, Counter()
-        for batch in batches:
+        for batch in few_rows(batches):
             for text in batch.column(0).to_pylist():
                 total.update(filter(known.__contains__, words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
@@ -103,7 +103,7 @@ def _joined(window_slice, names: list[str], at_text: int, last: bool, rules: Lea
 
     def run(batches):
         grams, prefix = window_slice.value
-        for batch in batches:
+        for batch in few_rows(batches):
             before = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_spans_", "_items_")}
             out_spans, out_items, n_words = [], [], []
             for text, spans, items in zip(batch.column(at_text).to_pylist(), before["_spans_"], before["_items_"], strict=True):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, ship, stored
+from .common import SPACE_CHARS, few_rows, ship, stored
 
 
 #: Stands for a null id among digests.
@@ -103,7 +103,7 @@ def _sent_hashes(rules: LineRules):
 
     def run(batches):
         seen: dict[int, bool] = {}
-        for batch in batches:
+        for batch in few_rows(batches):
             for text in batch.column(0).to_pylist():
                 for key in {k for k in line_keys(text, rules.least)[1] if k is not None}:
                     h = xxhash.xxh3_64_intdigest(key)
@@ -145,7 +145,7 @@ def _suspects(rules: LineRules, filters, id_type: pa.DataType):
 
     def run(batches):
         bloom = {s: Bloom(np.frombuffer(b, np.uint8)) for s, b in filters.value.items()}
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, keys, hashes = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {k for k in line_keys(text, rules.least)[1] if k is not None}
@@ -183,7 +183,7 @@ def _applied(rules: LineRules, names: list[str], at_id: int, at_text: int, table
 
     def run(batches):
         known = table.value if table is not None else None
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, texts = batch.column(at_id).to_pylist(), batch.column(at_text).to_pylist()
             drops = [None] * len(ids) if at_drops is None else batch.column(at_drops).to_pylist()
             cut = [line_keys(t, rules.least) for t in texts]

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, stored, utf8
+from .common import few_rows, ship, stored, utf8
 from .tokens import ByteCounts, kept
 
 CACHE = "digest binary, version string, n_tokens long"
@@ -48,7 +48,7 @@ def cached_counts(spark: SparkSession, rules: CountRules, version: str) -> DataF
 def _distinct_texts(batches):
     """Map side: each content of the task once, with its digest."""
     seen: set[bytes] = set()
-    for batch in batches:
+    for batch in few_rows(batches):
         digests, texts = [], []
         for text in batch.column(0).to_pylist():
             d = hashlib.sha256(utf8(text)).digest()

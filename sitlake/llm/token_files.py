@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, shared_fs, ship, stored
+from .common import range_count, scratch_dir, shared_fs, ship, stored
 from .simple8b import BLOCK, decode, encode
 from .tokens import WordIds, kept
 
@@ -35,8 +35,8 @@ class TokenRules:
     end_id: int | None = 2
     #: Ids of a segment, about; a longer document is one segment.
     segment: int = 1_000_000
-    #: Rows of a file, about.
-    file_rows: int = 8_192
+    #: Rows of a file at most, about.
+    file_rows: int = 65_536
 
 
 def segment_bytes(ids: list[int | None], lengths: list[int], values: np.ndarray) -> bytes:
@@ -140,14 +140,14 @@ def write_tokens(docs: DataFrame, rules: TokenRules, text: str = "text", doc_id:
     """Write the files; returns their folder and the stored manifest, one row per file.
 
     Null text is empty: its document is the end id alone.  Null ids come first; rows that repeat an id
-    are in order of their texts.  An empty table gives no file and an empty manifest.
+    (or have none) are in order of a hash of their texts, so they spread over files, and then of the texts.  An empty table gives no file and an empty manifest.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = folder or scratch_dir(spark, "tokens")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    files = max(1, -(-docs.select(doc_id).count() // rules.file_rows))
-    ranged = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    files = range_count(spark, docs.select(doc_id).count(), rules.file_rows)
+    ranged = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     return folder, stored(ranged.mapInArrow(_writer(folder, rules), MANIFEST), "manifest")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, shared_fs, ship, stored, utf8, with_small
+from .common import range_count, scratch_dir, shared_fs, ship, stored, utf8, with_small
 
 
 @dataclass(frozen=True)
@@ -33,9 +33,9 @@ class WarcRules:
     least: int = 1000
     #: WARC-Date of all records: the pages carry no time.
     date: str = "1970-01-01T00:00:00Z"
-    #: Lines of an index block, and about so many of an index file.
+    #: Lines of an index block, and about so many of an index file at most.
     block: int = 500
-    file_lines: int = 8_192
+    file_lines: int = 262_144
     level: int = 5
 
 
@@ -251,7 +251,7 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     revisit = F.coalesce(~F.col("id").eqNullSafe(F.col("keep")) & F.col("keep").isNotNull(), F.lit(False))
     rows = rows.select("id", "url", "html", "digest", revisit.alias("revisit"), "keep")
     captures = stored(rows.mapInArrow(_archiver(folder, rules), "key string, file string, at long, n long"), "captures")
-    files = max(1, -(-captures.count() // rules.file_lines))
+    files = range_count(spark, captures.count(), rules.file_lines, 8 * rules.block)
     ranged = captures.repartitionByRange(files, "key").sortWithinPartitions("key", "file", "at")
     top = stored(ranged.mapInArrow(_indexer(folder, rules), "first string, last string, path string, at long, n long"), "top")
     return Archive(folder, top)

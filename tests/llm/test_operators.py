@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sitlake.llm import queries as q
@@ -132,7 +133,11 @@ def expected_tokens(rows, name):
 
 
 def check_tokens(rows, got):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    def place(row):
+        text = (row[1] or "").encode()
+        return row[0] is not None, row[0] or 0, struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(text, 42)))[0], text
+
+    rows = sorted(rows, key=place)
     at, want = 0, []
     for (i, _), ids in zip(rows, expected_tokens(rows, "word_bpe_49k.json"), strict=True):
         ids = [*ids, 2]
