@@ -1,14 +1,19 @@
 """Corpus pipeline: documents to token files in five stages.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.  A stage's
+docs are a written table: it starts by removing what the stage before left in the shared folder, so a
+stage's disk is its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitlake.llm.common import read, space_words, stored
+from sitlake.llm.common import read, release, scratch_paths, space_words, stored
 from sitlake.llm.decontaminate import LeakRules, decontaminate
 from sitlake.llm.jaccard_join import jaccard_join
 from sitlake.llm.mixing import mix
@@ -17,16 +22,39 @@ from sitlake.llm.queries import tokenizer_path
 from sitlake.llm.token_files import TokenRules, read_tokens, write_tokens
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch folders of the stage before.
+_left: set[str] = set()
+
+
+def stage(step: Stage) -> Stage:
+    """A step that first removes what the stage before left."""
+
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_left)
+        before = scratch_paths()
+        out = step(spark, docs, sf_dir)
+        _left.clear()
+        _left.update(scratch_paths() - before)
+        return out
+
+    return run
+
+
+@stage
 def passing_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules(docs).filter("kept").select(*docs.columns)
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near-duplicates."""
     return jaccard_join(docs).filter("first_of_class").select(*docs.columns)
 
 
+@stage
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from others the benchmark's windows are cut, and n_chars follows."""
     out = decontaminate(docs, read(spark, sf_dir, "benchmark"), rules=LeakRules(cut=True)).filter("NOT contaminated")
@@ -35,6 +63,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document stands in it as often as it is taken."""
     sized = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "source", F.size(space_words(F.col("text"))).cast("long").alias("size"))
@@ -42,6 +71,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("_doc.*")
 
 
+@stage
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place, length and checksum of each document's ids, read back from the token files."""
     folder, manifest = write_tokens(docs, TokenRules(tokenizer=tokenizer_path("word_bpe_49k.json")))
@@ -63,6 +93,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's rows written and read again."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for name, step in STAGES[:-1]:
+        docs = stored(step(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
