@@ -25,7 +25,8 @@ BASE = 3
 
 #: Weak parts: an identifier, an opaque secret, an endpoint.
 IDENT = r"""(?i:client_?id|account|user(?:name)?|login|access_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}"""
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[a-z0-9+/_-]{0,63}[A-Z])(?=[A-Z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{24,}={0,2}"
+OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}"  # whole runs, which must hold each of OPAQUE_HOLDS
+OPAQUE_HOLDS = ("[0-9]", "[A-Z]", "[a-z]")
 ENDPOINT = r"(?i:https?|jdbc:[a-z0-9]{2,12}|amqps?|mongodb|redis|postgres(?:ql)?)://[^\s\"'<>]{4,}"
 #: Kinds that may stand for each part of a credential, as numbers in KINDS.
 SECRETS, IDENTIFIERS, STRONG = (0, 2, 4), (1, 3), (0, 1)
@@ -79,28 +80,32 @@ def spans(text: Column, pattern: str, kind: int, rules: ScopeRules, keep=None) -
 def linked_parts(parts: DataFrame, key: str, rules: ScopeRules) -> DataFrame:
     """Interval join within scopes: of rows (key, s, k, e), the weak ones with a complementary part near.
 
-    One pass over each text's parts in order of start looks up the nearest part of each class before
-    and after; weak parts that overlap a base finding are left to it.
+    One pass over the starts and ends of each text's parts, in order, looks up the nearest end of each class
+    before a part and the nearest start after it, so the value of an identifier is no secret beside it; weak
+    parts that overlap a base finding are left to it.
     """
-    before = Window.partitionBy(key).orderBy("s", "k").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(key).orderBy("s", "k").rowsBetween(1, Window.unboundedFollowing)
-
-    def sides(kinds: tuple[int, ...]) -> tuple[Column, Column]:
-        own = F.col("k").isin(*kinds)
-        return F.max(F.when(own, F.col("e"))).over(before), F.min(F.when(own, F.col("s"))).over(after)
-
+    ends = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("opens")), F.struct(F.col("e").alias("at"), F.lit(0).alias("opens")))
+    marks = parts.select(key, "s", "k", "e", F.explode(ends).alias("m")).select(key, "s", "k", "e", "m.*")
+    before = Window.partitionBy(key).orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(key).orderBy("at", "opens").rowsBetween(1, Window.unboundedFollowing)
+    opens = F.col("opens") == 1
     names = {"base": (0, 1, 2), "secret": SECRETS, "ident": IDENTIFIERS, "strong": STRONG}
+    found = []
     for name, kinds in names.items():
-        lo, hi = sides(kinds)
-        parts = parts.withColumn(f"{name}_lo", lo).withColumn(f"{name}_hi", hi)
+        own = F.col("k").isin(*kinds)
+        marks = marks.withColumns({
+            f"{name}_lo": F.max(F.when(own & ~opens, F.col("at"))).over(before), f"{name}_hi": F.min(F.when(own & opens, F.col("at"))).over(after),
+            f"{name}_n": F.when(opens, -F.count(F.when(own & ~opens, 1)).over(before)).otherwise(F.count(F.when(own & opens, 1)).over(before)),
+        })
+        found += [F.max(F.when(opens, F.col(f"{name}_lo"))).alias(f"{name}_lo"), F.max(F.when(~opens, F.col(f"{name}_hi"))).alias(f"{name}_hi"), F.sum(f"{name}_n").alias(f"{name}_n")]
+    parts = marks.groupBy(key, "s", "k", "e").agg(*found)
 
     def near(name: str) -> Column:
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         return F.coalesce(F.col("s") - lo <= rules.scope, F.lit(False)) | F.coalesce(hi - F.col("e") <= rules.scope, F.lit(False))
 
-    over = F.coalesce(F.col("base_lo") > F.col("s"), F.lit(False)) | F.coalesce(F.col("base_hi") < F.col("e"), F.lit(False))
     weak = ((F.col("k") == 3) & near("secret")) | ((F.col("k") == 4) & near("ident")) | ((F.col("k") == 5) & near("strong"))
-    return parts.filter(weak & ~over).select(key, "s", "k", "e")
+    return parts.filter(weak & (F.col("base_n") == 0)).select(key, "s", "k", "e")
 
 
 def secret_scan(docs: DataFrame, text: str = "text", rules: ScopeRules = ScopeRules(), columns: list[str] | None = None) -> DataFrame:
@@ -126,7 +131,7 @@ def secret_scan(docs: DataFrame, text: str = "text", rules: ScopeRules = ScopeRu
     for k, c in found.items():
         out = out.withColumn(spare[k], c)
     some = (F.size(spare[1]) > 0) | (F.size(spare[3]) > 0)
-    out = out.withColumn(spare[4], F.when(some, spans(t, OPAQUE, 4, rules)).otherwise(F.array().cast(SPAN)))
+    out = out.withColumn(spare[4], F.when(some, spans(t, OPAQUE, 4, rules, lambda m: m.rlike(OPAQUE_HOLDS[0]) & m.rlike(OPAQUE_HOLDS[1]) & m.rlike(OPAQUE_HOLDS[2]))).otherwise(F.array().cast(SPAN)))
     weak = F.concat(*[F.col(spare[k]) for k in (3, 4, 5)])
     base = F.sort_array(F.concat(*[F.col(spare[k]) for k in range(BASE)]))
     out = out.select(*keep, base.alias("base"), weak.alias(extra), F.when(F.size(weak) > 0, F.sha2(t, 256)).alias(key))
