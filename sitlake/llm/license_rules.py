@@ -27,7 +27,7 @@ _TEXTS = [
     ("mit", "free of charge to any person", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation"),
     ("mit", "substantial portions of the software", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
     ("mit", "without warranty of any kind", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
-    ("mit", "released under the mit", r"(?:released|licensed|distributed|available|published) under the (?:terms of the )?(?:mit|expat) licen[sc]e"),
+    ("mit", "under the", r"(?:released|licensed|distributed|available|published) under the (?:terms of the )?(?:mit|expat) licen[sc]e"),
     ("mit-0", "mit no attribution", r"mit no attribution(?: licen[sc]e)?"),
     ("isc", "modify and or distribute this software", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", "modify and distribute this software", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
@@ -119,7 +119,7 @@ _NAMES = [
     ("ogl", "open government licen", r"open government licen[sc]e"), ("oldap", "openldap public", r"openldap public licen[sc]e"), ("openssl", "openssl licen", r"openssl licen[sc]e"), ("osl", "open software licen", r"open software licen[sc]e"), ("php", "php licen", r"php licen[sc]e"), ("postgresql", "postgresql licen", r"postgresql licen[sc]e"), ("psf", "python software foundation licen", r"python software foundation licen[sc]e"),
     ("polyform", "polyform", r"polyform (?:noncommercial|strict|shield|small business|internal use|perimeter)(?: licen[sc]e)?"), ("qpl", "q public licen", r"q public licen[sc]e"), ("rpl", "reciprocal public licen", r"reciprocal public licen[sc]e"), ("ruby", "ruby licen", r"ruby licen[sc]e"), ("sspl", "server side public", r"server side public licen[sc]e"), ("spl", "sun public licen", r"sun public licen[sc]e"),
     ("sil", "sil licen", r"sil licen[sc]e"), ("unlicense", "unlicense", r"(?:the )?unlicense"), ("upl", "universal permissive", r"universal permissive licen[sc]e"), ("vsl", "vovida software", r"vovida software licen[sc]e"), ("watcom", "sybase open watcom", r"sybase open watcom public licen[sc]e"), ("wtfpl", "wtfpl", r"wtfpl"), ("wxwindows", "wxwindows", r"wxwindows library licen[sc]e"),
-    ("xfree86", "xfree86", r"xfree86 licen[sc]e"), ("zlib", "zlib licen", r"zlib licen[sc]e"), ("zpl", "zope public", r"zope public licen[sc]e"), ("llama", "llama community", r"llama (?:[0-9] (?:[0-9] )?)?community licen[sc]e"), ("gemma", "gemma terms", r"gemma terms of use"), ("rail", "responsible ai licen", r"(?:open )?responsible ai licen[sc]e"),
+    ("xfree86", "xfree86", r"xfree86 licen[sc]e"), ("zlib", "zlib licen", r"zlib licen[sc]e"), ("zpl", "zope public", r"zope public licen[sc]e"), ("llama", "community licen", r"llama (?:[0-9] (?:[0-9] )?)?community licen[sc]e"), ("gemma", "gemma terms", r"gemma terms of use"), ("rail", "responsible ai licen", r"(?:open )?responsible ai licen[sc]e"),
 ]
 
 # Addresses of licence texts.
@@ -134,7 +134,7 @@ _LINKS = [
 
 # Notices that name no licence by themselves.
 _HINTS = [
-    ("notice", "licensed under", r"licensed under the terms of"), ("notice", "see the license", r"see the licen[sc]e (?:file )?for"), ("notice", "license file", r"(?:found in|see) the licen[sc]e file"), ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"), ("spdx", "spdx", r"spdx licen[sc]e identifier"),
+    ("notice", "licensed under", r"licensed under the terms of"), ("notice", "see the licen", r"see the licen[sc]e (?:file )?for"), ("notice", "the licen", r"(?:found in|see) the licen[sc]e file"), ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"), ("spdx", "spdx", r"spdx licen[sc]e identifier"),
 ]
 
 RULES: tuple[Rule, ...] = tuple(
