@@ -77,35 +77,54 @@ def spans(text: Column, pattern: str, kind: int, rules: ScopeRules, keep=None) -
     return _let(found, lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(none)).cast(SPAN)
 
 
-def linked_parts(parts: DataFrame, key: str, rules: ScopeRules) -> DataFrame:
-    """Interval join within scopes: of rows (key, s, k, e), the weak ones with a complementary part near.
+def neighbours(parts: DataFrame, key: str, classes: dict[str, Column]) -> DataFrame:
+    """parts with, for each class, the nearest end before (_lo), nearest start after (_hi) and overlapping parts, itself too (_n).
 
-    One pass over the starts and ends of each text's parts, in order, looks up the nearest end of each class
-    before a part and the nearest start after it, so the value of an identifier is no secret beside it; weak
-    parts that overlap a base finding are left to it.
+    One pass over the starts and ends of each text's parts, in order.
     """
     ends = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("opens")), F.struct(F.col("e").alias("at"), F.lit(0).alias("opens")))
-    marks = parts.select(key, "s", "k", "e", F.explode(ends).alias("m")).select(key, "s", "k", "e", "m.*")
+    marks = parts.withColumn("m", F.explode(ends)).select(*parts.columns, "m.*")
     before = Window.partitionBy(key).orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(key).orderBy("at", "opens").rowsBetween(1, Window.unboundedFollowing)
     opens = F.col("opens") == 1
-    names = {"base": (0, 1, 2), "secret": SECRETS, "ident": IDENTIFIERS, "strong": STRONG}
     found = []
-    for name, kinds in names.items():
-        own = F.col("k").isin(*kinds)
+    for name, own in classes.items():
         marks = marks.withColumns({
             f"{name}_lo": F.max(F.when(own & ~opens, F.col("at"))).over(before), f"{name}_hi": F.min(F.when(own & opens, F.col("at"))).over(after),
             f"{name}_n": F.when(opens, -F.count(F.when(own & ~opens, 1)).over(before)).otherwise(F.count(F.when(own & opens, 1)).over(before)),
         })
         found += [F.max(F.when(opens, F.col(f"{name}_lo"))).alias(f"{name}_lo"), F.max(F.when(~opens, F.col(f"{name}_hi"))).alias(f"{name}_hi"), F.sum(f"{name}_n").alias(f"{name}_n")]
-    parts = marks.groupBy(key, "s", "k", "e").agg(*found)
+    return marks.groupBy(*parts.columns).agg(*found)
+
+
+def linked_parts(parts: DataFrame, key: str, rules: ScopeRules) -> DataFrame:
+    """Interval join within scopes: of rows (key, s, k, e), the weak ones with a complementary part near.
+
+    The value of an identifier is no secret beside it; weak parts that overlap a base finding are left to
+    it.  An endpoint needs a strong finding, or an identifier and a secret that complement each other.
+    """
+    k, yes = F.col("k"), F.lit(True)
+
+    def left(name: str) -> Column:
+        return F.coalesce(F.col("s") - F.col(f"{name}_lo") <= rules.scope, ~yes)
+
+    def right(name: str) -> Column:
+        return F.coalesce(F.col(f"{name}_hi") - F.col("e") <= rules.scope, ~yes)
 
     def near(name: str) -> Column:
-        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        return F.coalesce(F.col("s") - lo <= rules.scope, F.lit(False)) | F.coalesce(hi - F.col("e") <= rules.scope, F.lit(False))
+        return left(name) | right(name)
 
-    weak = ((F.col("k") == 3) & near("secret")) | ((F.col("k") == 4) & near("ident")) | ((F.col("k") == 5) & near("strong"))
-    return parts.filter(weak & (F.col("base_n") == 0)).select(key, "s", "k", "e")
+    names = {"base": (0, 1, 2), "secret": SECRETS, "ident": IDENTIFIERS, "strong": STRONG}
+    parts = neighbours(parts, key, {name: k.isin(*kinds) for name, kinds in names.items()})
+    pair = (left("ident") & right("secret")) | (left("secret") & right("ident"))
+    pair |= ((F.col("ident_n") > 0) & near("secret")) | ((F.col("secret_n") > 0) & near("ident"))
+    weak = ((k == 3) & near("secret")) | ((k == 4) & near("ident")) | ((k == 5) & (near("strong") | pair))
+    own = (k.isin(*SECRETS) & near("ident")) | (k.isin(*IDENTIFIERS) & near("secret"))
+    parts = parts.select(key, "s", "k", "e", own.alias("linked"), (weak & (F.col("base_n") == 0)).alias("weak"), (F.col("base_n") > 0).alias("over"))
+    # an identifier and a secret on the same side of an endpoint and near it are near each other
+    parts = neighbours(parts, key, {"secret": k.isin(*SECRETS) & F.col("linked"), "ident": k.isin(*IDENTIFIERS) & F.col("linked")})
+    both = (near("secret") | (F.col("secret_n") > 0)) & (near("ident") | (F.col("ident_n") > 0))
+    return parts.filter(F.col("weak") | ((k == 5) & both & ~F.col("over"))).select(key, "s", "k", "e")
 
 
 def secret_scan(docs: DataFrame, text: str = "text", rules: ScopeRules = ScopeRules(), columns: list[str] | None = None) -> DataFrame:

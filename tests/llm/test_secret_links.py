@@ -32,12 +32,20 @@ def findings(text):
     def near(a, kinds):
         return any(b[1] in kinds and apart(a, b) and max(b[0] - a[2], a[0] - b[2]) <= SCOPE for b in every)
 
+    def within(a, kinds):
+        return [b for b in every if b[1] in kinds and max(b[0] - a[2], a[0] - b[2]) <= SCOPE]
+
+    def pair(a):
+        own, secrets = within(a, (1, 3)), within(a, (0, 2, 4))
+        together = any(apart(i, s) for i in own for s in secrets)
+        return together or any(near(i, (0, 2, 4)) for i in own) and any(near(s, (1, 3)) for s in secrets)
+
     def stands(a):
         if a[1] < 3:
             return True
         if any(b[1] < 3 and not apart(a, b) for b in every):
             return False
-        return near(a, {3: (0, 2, 4), 4: (1, 3), 5: (0, 1)}[a[1]])
+        return near(a, {3: (0, 2, 4), 4: (1, 3), 5: (0, 1)}[a[1]]) or a[1] == 5 and pair(a)
 
     return sorted(a for a in every if stands(a))
 
@@ -59,6 +67,18 @@ def test_unquoted_values_are_linked(spark, text, kinds):
     assert [KINDS[x[1]] for x in scanned(spark, [text])[0]] == kinds
 
 
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        (f"user: bob12\n{TOKEN}\npostgres://db.example.com/x", ["ident", "opaque", "endpoint"]), ("user: bob12\ndeadbeefdeadbeef00\npostgres://db.example.com/x", ["ident", "hex", "endpoint"]),
+        (f"user: bob12 {'x ' * 180}postgres://db.example.com/x {'x ' * 180}{TOKEN}", ["endpoint"]), ("user: bob12\npostgres://db.example.com/x", []), (f"{TOKEN}\npostgres://db.example.com/x", []),
+        (f"client_id={TOKEN}\npostgres://db.example.com/x", []), (f"https://db.example.com/?user=bobby&key={TOKEN}", ["endpoint", "ident", "opaque"]),
+    ],
+)
+def test_an_endpoint_needs_an_identifier_and_a_secret(spark, text, kinds):
+    assert [KINDS[x[1]] for x in scanned(spark, [text])[0]] == kinds
+
+
 def test_links_equal_all_pairs(spark):
     rng = random.Random(6)
     pieces = [
