@@ -85,11 +85,11 @@ def mix(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", size:
     targets = stored(inclusion_factors(docs, targets, rules), "inclusion")
 
     docs = with_small(docs, targets, F.col("_source").eqNullSafe(F.col("src")))
-    p = F.least(F.greatest(F.col("factor") * level(rules), F.lit(0.0)), F.lit(1.0))
+    p = inclusion(level(rules))
     u = uniform(F.col("_id"), F.col("_size"), seed=rules.seed)
     q = F.when(p >= 1.0, F.lit(0.0)).when(p <= 0.0, F.lit(1e300)).otherwise((u / (1 - u)) / (p / (1 - p)))
-    bucket = F.floor(F.least(F.col("_q") / (1 + F.col("_q")), F.lit(1.0 - 1e-12)) * F.ceil(F.col("n") / rules.bucket_rows))
-    ranked = docs.withColumn("_q", q).withColumn("_bucket", bucket)
+    bucket = F.floor(F.least(place() / F.col("n"), F.lit(1.0 - 1e-12)) * F.ceil(F.col("n") / rules.bucket_rows))
+    ranked = docs.withColumn("_u", u).withColumn("_q", q).withColumn("_bucket", bucket)
     ranked = ranked.select("_no", "src", "_id", "_size", "_q", "_bucket", "rest", "sure", "source_size", "target")
     first = stored(ranked.withColumn("_rest", F.col("rest")).transform(head, True).drop("_rest"), "first")
     # what the first document that does not fit leaves open goes to the next ones in order that do
@@ -123,13 +123,41 @@ def level(rules: MixRules) -> Column:
     return F.when(F.col("_size") >= rules.long_words, F.lit(2.0)).otherwise(F.lit(1.0))
 
 
+def inclusion(lev: Column | float) -> Column:
+    """Probability that a document of a level gives an extra copy."""
+    return F.least(F.greatest(F.col("factor") * lev, F.lit(0.0)), F.lit(1.0))
+
+
+def place() -> Column:
+    """A row's expected place in its source's order: grows with _q, and uniform over the source's rows.
+
+    It is the number of rows that _q is expected to pass in each level.  Rows that are taken in any order,
+    or in none, are spread by _u.
+    """
+    n_long, s_long = F.col("n_long"), F.col("s_long")
+    levels = ((inclusion(2.0), n_long, s_long), (inclusion(1.0), F.col("n") - n_long, F.col("source_size") - s_long))
+
+    def passed(p: Column) -> Column:
+        x = F.col("_q") * (p / (1 - p))
+        return F.when(p >= 1.0, F.lit(1.0)).when(p <= 0.0, F.lit(0.0)).otherwise(x / (1 + x))
+
+    def whole(of: int) -> Column:
+        return sum((F.when(level[0] >= 1.0, level[of]).otherwise(F.lit(0)) for level in levels), F.lit(0))
+
+    # all rows with _q = 0 fit, whatever their order, but for rounding
+    first = F.when(whole(2) <= F.col("rest"), whole(1) * F.col("_u")).otherwise(F.lit(0.0))
+    ordered = sum((n * passed(p) for p, n, _ in levels), F.lit(0.0))
+    return F.when(F.col("rest") <= 0, F.col("n") * F.col("_u")).when(F.col("_q") == 0.0, first).otherwise(ordered)
+
+
 def inclusion_factors(docs: DataFrame, targets: DataFrame, rules: MixRules) -> DataFrame:
     """targets with ``factor``: an extra copy has the inclusion probability min(1, factor * level).
 
     Solved from the sums of each (source, level), heaviest level first: a level whose probability
-    would pass 1 is taken whole, and the rest is shared by the lighter ones.
+    would pass 1 is taken whole, and the rest is shared by the lighter ones.  n_long and s_long are
+    the documents of the heavier level and their words.
     """
-    levels = docs.groupBy("_source", level(rules).alias("lev")).agg(F.sum("_size").alias("s"))
+    levels = docs.groupBy("_source", level(rules).alias("lev")).agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("m"))
     levels = levels.join(targets.select("src", "rest"), F.col("_source").eqNullSafe(F.col("src")))
     heavier = Window.partitionBy("src").orderBy(F.col("lev").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("src")
@@ -138,5 +166,6 @@ def inclusion_factors(docs: DataFrame, targets: DataFrame, rules: MixRules) -> D
     free = F.sum(weighted).over(whole) - F.coalesce(F.sum(weighted).over(heavier), F.lit(0.0))
     levels = levels.withColumn("f", F.when(free > 0, (F.col("rest") - held) / free).otherwise(F.lit(0.0)))
     fits = F.when(F.col("f") * F.col("lev") <= 1.0, F.col("f"))
-    factors = levels.groupBy(F.col("src").alias("src_f")).agg(F.coalesce(F.max(fits), F.max("f"), F.lit(0.0)).alias("factor"))
+    long = [F.coalesce(F.sum(F.when(F.col("lev") > 1.0, F.col(c))), F.lit(0)).alias(name) for c, name in (("m", "n_long"), ("s", "s_long"))]
+    factors = levels.groupBy(F.col("src").alias("src_f")).agg(F.coalesce(F.max(fits), F.max("f"), F.lit(0.0)).alias("factor"), *long)
     return targets.join(factors, F.col("src").eqNullSafe(F.col("src_f"))).drop("src_f")
