@@ -24,10 +24,14 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def check_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of checks from a folder or file of events."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder if name.endswith(".parquet") else path)
+    """A stream of checks from a folder or file of events; a folder's files are those that a batch reads."""
+    rows = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        rows = rows.parquet(path)
+    else:
+        folder, _, name = path.rstrip("/").rpartition("/")
+        rows = rows.option("pathGlobFilter", name).parquet(folder)
     return as_checks(rows.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
