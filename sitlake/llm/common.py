@@ -24,6 +24,10 @@ WORD_BYTES = bytes(
 #: Rows of a checked side that may be broadcast, and bytes of it.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 512
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -118,6 +122,13 @@ def few_rows(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def others(columns: DataFrame | list[str], results: tuple[str, ...]) -> list[str]:
+    """Columns that stay beside the results: all but those named like one, in any case."""
+    names = columns if isinstance(columns, list) else columns.columns
+    taken = {r.lower() for r in results}
+    return [c for c in names if c.lower() not in taken]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}
@@ -138,8 +149,13 @@ def space_words(text: Column) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever the driver was started."""
+    """Make this package importable in Python workers, wherever the driver was started, and keep their batches small.
+
+    A session with Spark's default of 10,000 rows to an Arrow batch gets BATCH_ROWS, as rows are whole texts.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCHES) == "10000":
+        spark.conf.set(_BATCHES, BATCH_ROWS)
     if getattr(context, "_sitlake_shipped", False):
         return
     import shutil

@@ -14,9 +14,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_rows, ship, stored, utf8
+from .common import few_rows, others, ship, stored, utf8
 from .tokens import ByteCounts, kept
 
+#: A content is hot above this many rows, and above one row in so many of all: so at most HOT_SHARE are.
+HOT_ROWS, HOT_SHARE = 256, 100_000
+
 CACHE = "digest binary, version string, n_tokens long"
 
 
@@ -63,20 +66,22 @@ def _encoded(path: str):
     def run(batches):
         count, seen = kept(ByteCounts, path), set()
         for batch in batches:
-            rows = {}
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if d not in seen:
-                    seen.add(d)
-                    rows[d] = count(text.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.int64())], names=["digest", "n_tokens"])
+            for k in range(0, batch.num_rows, 1024):
+                digests, texts = batch.column(0).slice(k, 1024), batch.column(1).slice(k, 1024)
+                new = []
+                for i, d in enumerate(digests.to_pylist()):
+                    if d not in seen:
+                        seen.add(d)
+                        new.append(i)
+                yield pa.RecordBatch.from_arrays([digests.take(pa.array(new, pa.int64())), pa.array(count(texts.take(pa.array(new, pa.int64()))))], names=["digest", "n_tokens"])
 
     return run
 
 
-def fill_cache(docs: DataFrame, digests: DataFrame, rules: CountRules, version: str, text: str) -> None:
+def fill_cache(docs: DataFrame, contents: DataFrame, rules: CountRules, version: str, text: str) -> None:
     """Encode the distinct contents that the cache lacks and append them."""
     spark = docs.sparkSession
-    misses = stored(digests.select("digest").distinct().join(cached_counts(spark, rules, version), "digest", "left_anti"), "misses")
+    misses = stored(contents.select("digest").join(cached_counts(spark, rules, version), "digest", "left_anti"), "misses")
     if misses.isEmpty():
         return
     texts = docs.select(F.col(text).alias("text")).mapInArrow(_distinct_texts, "digest binary, text string")
@@ -89,17 +94,27 @@ def token_counts(docs: DataFrame, rules: CountRules, text: str = "text", columns
     """docs (or the named columns) with n_bytes, n_tokens and over_limit.
 
     Null text is empty: 0 bytes, 0 tokens.  Equal contents are encoded once, whatever their rows.  Special
-    strings in texts are as the library treats them by default.  An empty table gives an empty one; other
-    columns stay, those named like results are replaced.
+    strings in texts are as the library treats them by default; a text of any length is cut and encoded in
+    fragments.  Rows that repeat an id each keep their own count.  An empty table gives an empty one; other
+    columns stay, those named like results (in any case) are replaced.
+
+    Contents with more than one row in HOT_SHARE of all rows (at most HOT_SHARE contents, by count) meet their
+    rows by broadcast, so no content's rows gather in one task; all others by a shuffle on the digest.
     """
     spark = docs.sparkSession
     ship(spark)
     version = tokenizer_version(rules.tokenizer)
-    new = ("n_bytes", "n_tokens", "over_limit")
-    keep = [c for c in (docs.columns if columns is None else columns) if c not in new]
+    keep = others(docs if columns is None else columns, ("n_bytes", "n_tokens", "over_limit"))
     filled = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct(*keep).alias("_row"), F.octet_length(filled).cast("long").alias("n_bytes"), F.unhex(F.sha2(filled, 256)).alias("digest"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.octet_length(filled).cast("long").alias("n_bytes"), F.unhex(F.sha2(filled, 256)).alias("digest"))
     rows = stored(rows, "digests")
-    fill_cache(docs, rows, rules, version, text)
+    contents = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "contents")
+    fill_cache(docs, contents, rules, version, text)
     counts = cached_counts(spark, rules, version).dropDuplicates(["digest"])
-    return rows.join(counts, "digest", "left").select("_row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > rules.limit).alias("over_limit"))
+    hot = contents.filter(F.col("n") > max(HOT_ROWS, rows.count() // HOT_SHARE)).select("digest")
+    known = stored(hot.join(counts, "digest"), "hot")
+    often = rows.join(F.broadcast(known), "digest")
+    seldom = rows.join(F.broadcast(known.select("digest")), "digest", "left_anti").join(counts, "digest", "left")
+    names = ["_row", "n_bytes", "n_tokens"]
+    both = often.select(*names).unionByName(seldom.select(*names))
+    return both.select("_row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > rules.limit).alias("over_limit"))

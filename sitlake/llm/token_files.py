@@ -1,9 +1,10 @@
 """Token-ID files: documents in ascending order of id, ids in Simple-8b words.
 
-Texts are dealt out by ranges of doc_id and sorted in each; a task encodes its range and writes one
-file of segments to the shared folder.  Each attempt writes a file of its own name and hands back a
-manifest row, so a retried task leaves at most a file that no manifest names.  Starts come from the
-manifest's sums: one row per file.
+Texts are encoded where they are read, once, and only packed ids move.  The ranges that files cover come
+first, from a sort of the keys alone; an encoding task names each row's range, so rows go straight to it.
+A task sorts its range, packs it and writes one file of segments to the shared folder.  Each attempt writes
+a file of its own name and hands back a manifest row, so a retried task leaves at most a file that no
+manifest names.  Starts come from the manifest's sums: one row per file.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import range_count, scratch_dir, shared_fs, ship, stored
-from .simple8b import BLOCK, decode, encode
+from .common import few_rows, range_count, scratch_dir, shared_fs, ship, stored
+from .simple8b import decode, encode
 from .tokens import WordIds, kept
 
 MAGIC = b"SIM8B\x00\x01\n"
 _HEAD = struct.Struct("<4Q")  # documents, ids, blocks, words of a segment
+ENCODED = "range int, doc_id long, hash long, wide boolean, ids binary"
 MANIFEST = "path string, part int, n_docs long, n_ids long, n_bytes long, first_id long"
 
 
@@ -34,7 +36,7 @@ class TokenRules:
     #: Appended to each document.
     end_id: int | None = 2
     #: Ids of a segment, about; a longer document is one segment.
-    segment: int = 1_000_000
+    segment: int = 131_072
     #: Rows of a file at most, about.
     file_rows: int = 65_536
 
@@ -69,16 +71,59 @@ def read_segments(file):
         yield [int(i) if k else None for i, k in zip(ids, known, strict=True)], lengths, values.astype("<u4")
 
 
+class Ranges:
+    """The ranges of (doc_id, hash) that files cover, by their first keys in order; null ids come first."""
+
+    def __init__(self, firsts: list[tuple[int | None, int]]):
+        self.nulls = np.array([h for i, h in firsts if i is None], np.int64)
+        self.ids = np.array([i for i, _ in firsts if i is not None], np.int64)
+        self.hashes = np.array([h for i, h in firsts if i is not None], np.int64)
+
+    def of(self, ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        """The range of each key."""
+        known, own, at = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), hashes.to_numpy()
+        lo, hi = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
+        out = len(self.nulls) + lo
+        for k in np.flatnonzero(known & (lo < hi)).tolist():  # ids at which a range starts
+            out[k] += np.searchsorted(self.hashes[lo[k] : hi[k]], at[k], "right")
+        out[~known] = np.searchsorted(self.nulls, at[~known], "right")
+        return pa.array(np.maximum(out - 1, 0).astype(np.int32))
+
+
+def ranges(keys: DataFrame, count: int) -> Ranges:
+    """About so many even ranges of rows (doc_id, hash); one row per range reaches the driver."""
+    dealt = keys.repartitionByRange(max(1, count), *keys.columns)
+    firsts = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(*keys.columns)).alias("first"))
+    return Ranges([tuple(r["first"]) for r in firsts.orderBy("part").collect()])
+
+
+def _encoder(rules: TokenRules, dealt: Ranges):
+    """Rows (range, doc_id, hash, wide, ids): ids are little-endian, of four bytes where wide and else of two."""
+
+    def run(batches):
+        tokenize = kept(WordIds, rules.tokenizer)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                own = tokenize(part.column(2))
+                if rules.end_id is not None:
+                    own = [np.append(ids, np.uint32(rules.end_id)) for ids in own]
+                wide = [bool(len(ids)) and int(ids.max()) > 0xFFFF for ids in own]
+                raw = [(ids if w else ids.astype("<u2")).tobytes() for ids, w in zip(own, wide, strict=True)]
+                at = dealt.of(part.column(0), part.column(1))
+                yield pa.RecordBatch.from_arrays([at, part.column(0), part.column(1), pa.array(wide, pa.bool_()), pa.array(raw, pa.binary())], names=["range", "doc_id", "hash", "wide", "ids"])
+
+    return run
+
+
 def _writer(folder: str, rules: TokenRules):
     def run(batches):
         from pyspark import TaskContext
 
-        tokenize = kept(WordIds, rules.tokenizer)
         part = TaskContext.get().partitionId()
         fs, root = shared_fs(folder)
         fs.create_dir(root, recursive=True)
         path = f"{root}/part-{part:06d}-{uuid.uuid4().hex[:8]}.s8b"
-        end = b"" if rules.end_id is None else struct.pack("<I", rules.end_id)
         ids, lengths, raw, held = [], [], [], 0
         n_docs = n_ids = n_bytes = 0
         first = None
@@ -87,19 +132,18 @@ def _writer(folder: str, rules: TokenRules):
 
             def flush():
                 nonlocal n_docs, n_ids, n_bytes
-                data = segment_bytes(ids, lengths, np.frombuffer(b"".join(raw), "<u4"))
+                data = segment_bytes(ids, lengths, np.concatenate(raw))
                 out.write(data)
                 n_docs, n_ids, n_bytes = n_docs + len(ids), n_ids + sum(lengths), n_bytes + len(data)
 
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                    doc_id = doc_id.as_py()
-                    own = tokenize(text.as_py()) + end
+            for batch in few_rows(batches):
+                for doc_id, wide, own in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    own = np.frombuffer(own, "<u4" if wide else "<u2").astype("<u4")
                     first = doc_id if not n_docs and not ids else first
                     ids.append(doc_id)
-                    lengths.append(len(own) // 4)
+                    lengths.append(len(own))
                     raw.append(own)
-                    held += len(own) // 4
+                    held += len(own)
                     if held >= rules.segment:
                         flush()
                         ids, lengths, raw, held = [], [], [], 0
@@ -140,14 +184,19 @@ def write_tokens(docs: DataFrame, rules: TokenRules, text: str = "text", doc_id:
     """Write the files; returns their folder and the stored manifest, one row per file.
 
     Null text is empty: its document is the end id alone.  Null ids come first; rows that repeat an id
-    (or have none) are in order of a hash of their texts, so they spread over files, and then of the texts.  An empty table gives no file and an empty manifest.
+    (or have none) are in order of a hash of their texts, so they spread over files, and then of their ids.
+    A text of any length is cut and encoded in fragments.  An empty table gives no file and an empty manifest;
+    other columns of docs, whatever their names, have no effect.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = folder or scratch_dir(spark, "tokens")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    files = range_count(spark, docs.select(doc_id).count(), rules.file_rows)
-    ranged = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(files, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    dealt = ranges(rows.select("doc_id", "hash"), range_count(spark, docs.select(doc_id).count(), rules.file_rows))
+    ids = rows.mapInArrow(_encoder(rules, dealt), ENCODED)
+    files = max(1, len(dealt.nulls) + len(dealt.ids))
+    ranged = ids.repartitionById(files, "range").sortWithinPartitions("doc_id", "hash", "ids").select("doc_id", "wide", "ids")
     return folder, stored(ranged.mapInArrow(_writer(folder, rules), MANIFEST), "manifest")
 
 

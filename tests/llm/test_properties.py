@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,8 @@ from sitlake.llm.license_scan import Detection, resolve
 from sitlake.llm.line_dedup import line_keys
 from sitlake.llm.queries import tokenizer_path
 from sitlake.llm.simple8b import decode, encode
-from sitlake.llm.tokens import ByteCounts, WordIds
+from sitlake.llm import tokens
+from sitlake.llm.tokens import ByteCounts, Memo, WordIds
 from sitlake.llm.warc import capture_key, surt
 
 from . import brute
@@ -29,24 +31,45 @@ def test_simple8b(values):
     assert (decode(*encode(v)) == v).all()
 
 
+#: Texts for tokenizers: contractions, marks that compose, white space of all kinds, special strings, several scripts.
+HOSTILE = st.lists(
+    st.text(alphabet=st.one_of(st.sampled_from("aAsSjJtT'' \n\t  09.,;<|>=-éßΣςİ\u0301\u030c\u0338\u00a0\u3000\u0085\x1c\x00日本カ한Яж—…🙂"), st.sampled_from("az 1"), st.characters(blacklist_categories=("Cs",))), max_size=50)
+    | st.sampled_from(["<|endoftext|>", "it's <|startoftext|> I'LL", "", " ", "J\u030c k", "'s'S 're", "a \u00a0 b", "x" * 60 + " " + "y" * 60]) | st.none(),
+    max_size=6,
+)
+
+
 @pytest.fixture(scope="module")
 def tokenizers():
     return WordIds(tokenizer_path("word_bpe_49k.json")), ByteCounts(tokenizer_path("byte_bpe_50k.json"))
 
 
-def test_memoised_pieces_give_the_library_ids(tokenizers):
+@pytest.mark.parametrize("size", [tokens.SLICE, 8])
+def test_pieces_give_the_library_ids(tokenizers, monkeypatch, size):
     words, counts = tokenizers
+    monkeypatch.setattr(tokens, "SLICE", size)
 
-    @given(TEXT)
-    @settings(deadline=None, max_examples=300)
-    def check(text):
-        ids = words.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(words(text), "<u4").tolist() == ids
-        assert counts(text) == len(counts.tokenizer.encode(text, add_special_tokens=False).ids)
+    @given(HOSTILE, st.integers(0, 2))
+    @settings(deadline=None, max_examples=400)
+    def check(texts, skip):
+        array = pa.array(texts, pa.string()).slice(skip)
+        own = array.to_pylist()
+        assert [x.tolist() for x in words(array)] == [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in own]
+        assert counts(array).tolist() == [len(counts.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in own]
 
     check()
 
 
+def test_memo_is_bounded_and_right():
+    made = []
+    memo = Memo(lambda k: made.append(k) or k.upper(), len, most=20 * tokens.ENTRY)
+    for k in range(200):
+        keys = [b"%d" % (k % 50), b"often", b"x" * 1000]
+        assert memo.many(keys) == [x.upper() for x in keys]
+        assert len(memo.new) + len(memo.old) <= 22
+    assert made.count(b"often") == 2 and made.count(b"x" * 1000) == 200
+
+
 @given(TEXT)
 @settings(deadline=None, max_examples=200)
 def test_words(text):
