@@ -129,6 +129,11 @@ def others(columns: DataFrame | list[str], results: tuple[str, ...]) -> list[str
     return [c for c in names if c.lower() not in taken]
 
 
+def whole_row(columns: list[str], name: str = "_row") -> Column:
+    """Columns as one struct, so no name of theirs meets a name of the operator's."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns]).alias(name)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

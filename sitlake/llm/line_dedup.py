@@ -1,13 +1,15 @@
 """Line dedup with two Bloom filters: only suspected repeats shuffle for exact confirmation.
 
-1. Map tasks hash their lines' keys and send each distinct hash once, to the slice that its high bits
-   name.  A slice streams its hashes through a once-seen filter; what was there already goes into a
-   twice-seen filter.  Only twice-seen filters are kept; their size is bounded by a parameter, and a
-   fuller filter just suspects more.
-2. Keys whose hash may be twice-seen are grouped by their text: that confirms them exactly and
-   chooses the document that keeps them.
-3. Confirmed keys are applied to whole texts: by a broadcast of digests within a checked bound, else by
-   a join of each document with its own drops.
+1. Map tasks hash their lines' keys and store each distinct hash once.  The hashes are counted, and that
+   count gives the number of slices of the hash space, so a slice's filters have the same size at any scale.
+   A slice streams its hashes through a once-seen filter; what was there already goes into a twice-seen filter.
+2. While all twice-seen filters fit the bound of a broadcast, documents are held against them where they are
+   read, and keys that may be twice-seen are grouped by their text: that confirms them exactly and chooses
+   the document that keeps them.  Beyond it nothing is broadcast: each task combines its keys to (digest,
+   documents, largest id) and sends them to their slice, where the filter lets through the suspects; those are
+   confirmed by 128-bit digests.
+3. Confirmed keys are applied to whole texts: all by a broadcast within a checked bound; beyond it the hot
+   ones by a broadcast, the rest by a join of each document with its own drops.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, few_rows, ship, stored
+from .common import SPACE_CHARS, few_rows, others, ship, stored, whole_row
 
 
 #: Stands for a null id among digests.
@@ -34,15 +36,16 @@ class LineRules:
     least: int = 20
     #: Documents that must hold a key.
     documents: int = 3
-    #: Slices of the hash space, a power of two.
-    slices: int = 64
-    #: Bytes of all twice-seen filters at most.
-    filter_bytes: int = 64 << 20
+    #: Hashes of a slice, about; the slice's two filters have bits_per_hash each.
+    slice_hashes: int = 1 << 21
     bits_per_hash: int = 12
-    #: Distinct hashes that a map task holds before it sends them.
+    #: Bytes of all twice-seen filters that may be broadcast.
+    filter_bytes: int = 64 << 20
+    #: Distinct hashes that a map task holds before it stores or sends them.
     flush: int = 500_000
-    #: Confirmed keys that may be broadcast, 24 bytes each.
+    #: Confirmed keys that may be broadcast, 24 bytes each; and the share of documents above which a key is hot.
     broadcast_keys: int = 2_000_000
+    hot_share: int = 100_000
 
 
 def line_keys(text: str | None, least: int) -> tuple[list[str], list[bytes | None]]:
@@ -55,6 +58,10 @@ def line_keys(text: str | None, least: int) -> tuple[list[str], list[bytes | Non
     return lines, keys
 
 
+def distinct_keys(text: str | None, least: int) -> set[bytes]:
+    return {k for k in line_keys(text, least)[1] if k is not None}
+
+
 class Bloom:
     """A Bloom filter of four probes over 64-bit hashes, vectorised."""
 
@@ -82,174 +89,278 @@ class Bloom:
             np.bitwise_or.at(self.bits, at, bit)
 
 
-def _sent_hashes(rules: LineRules):
-    """Map side: rows (slice, once, twice) of packed hashes, each distinct hash of the task once."""
+def _digests(keys: list[bytes]) -> np.ndarray:
+    """128-bit digests as rows of two words; the first is the hash that filters see."""
     import xxhash
 
-    shift = np.uint64(64 - (rules.slices.bit_length() - 1))
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(k) for k in keys]), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """The slice that the high bits of each hash name."""
+    return ((hashes >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int32)
+
 
-    def rows(seen: dict[int, bool]) -> pa.RecordBatch:
-        hashes = np.fromiter(seen.keys(), np.uint64, len(seen))
+def _by_slice(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(slice, places of its items) for the slices that have some."""
+    if not len(part):
+        return
+    order = np.argsort(part, kind="stable")
+    named, edges = np.unique(part[order], return_index=True)
+    yield from zip(named.tolist(), np.split(order, edges[1:]), strict=True)
+
+
+def _own_hashes(rules: LineRules):
+    """Map side: rows (once, twice, n) of packed hashes, each distinct hash of the task's flush once."""
+
+    def row(seen: dict[bytes, bool]) -> pa.RecordBatch:
+        hashes = np.frombuffer(b"".join(seen), ">u8").astype(np.uint64)
         many = np.fromiter(seen.values(), bool, len(seen))
-        part = (hashes >> shift).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        hashes, many, part = hashes[order], many[order], part[order]
-        edges = np.searchsorted(part, np.arange(rules.slices + 1))
-        own = [(s, hashes[a:b], many[a:b]) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([s for s, _, _ in own], pa.int32()), pa.array([h[~m].tobytes() for _, h, m in own], pa.binary()), pa.array([h[m].tobytes() for _, h, m in own], pa.binary())],
-            names=["slice", "once", "twice"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array([hashes[~many].tobytes()], pa.binary()), pa.array([hashes[many].tobytes()], pa.binary()), pa.array([len(seen)], pa.int64())], names=["once", "twice", "n"])
 
     def run(batches):
-        seen: dict[int, bool] = {}
+        import xxhash
+
+        seen: dict[bytes, bool] = {}
         for batch in few_rows(batches):
             for text in batch.column(0).to_pylist():
-                for key in {k for k in line_keys(text, rules.least)[1] if k is not None}:
-                    h = xxhash.xxh3_64_intdigest(key)
+                for key in distinct_keys(text, rules.least):
+                    h = xxhash.xxh3_128_digest(key)[:8]
                     seen[h] = h in seen
                 if len(seen) >= rules.flush:
-                    yield rows(seen)
+                    yield row(seen)
                     seen = {}
         if seen:
-            yield rows(seen)
+            yield row(seen)
 
     return run
 
 
-def _slice_filter(rules: LineRules):
-    """Reduce side: one slice's hashes through the once-seen filter; returns its twice-seen filter."""
-    most = 1 << ((rules.filter_bytes // rules.slices).bit_length() - 1)
+def _sent_hashes(slices: int):
+    """Rows (slice, once, twice) from stored ones."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        once = [np.frombuffer(x, np.uint64) for x in table.column("once").to_pylist()]
-        twice = [np.frombuffer(x, np.uint64) for x in table.column("twice").to_pylist()]
-        n = sum(map(len, once)) + sum(map(len, twice))
-        size = min(most, 1 << max(6, int(n * rules.bits_per_hash // 8).bit_length()))
-        first, second = Bloom.sized(size), Bloom.sized(size)
-        for hashes in once:  # distinct within each
-            second.add(hashes[first.has(hashes)])
-            first.add(hashes)
-        for hashes in twice:
-            second.add(hashes)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([second.bits.tobytes()], pa.binary())})
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                packed: dict[int, list[bytes]] = {}
+                for c in range(2):
+                    hashes = np.frombuffer(batch.column(c)[row].as_py(), np.uint64)
+                    for s, at in _by_slice(slice_of(hashes, slices)):
+                        packed.setdefault(s, [b"", b""])[c] = hashes[at].tobytes()
+                columns = [pa.array(list(packed), pa.int32()), *[pa.array([x[c] for x in packed.values()], pa.binary()) for c in range(2)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "once", "twice"])
 
     return run
 
 
-def _suspects(rules: LineRules, filters, id_type: pa.DataType):
-    """Rows (doc_id, key): each document's distinct keys that may be in several documents."""
-    import xxhash
+def _slice_filters(size: int):
+    """Reduce side: a stream of hashes through their slice's once-seen filter; gives the twice-seen filters."""
 
-    shift = np.uint64(64 - (rules.slices.bit_length() - 1))
+    def run(batches):
+        filters: dict[int, tuple[Bloom, Bloom]] = {}
+        for batch in few_rows(batches, 16):
+            for s, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first, second = filters.setdefault(s, (Bloom.sized(size), Bloom.sized(size)))
+                hashes = np.frombuffer(once, np.uint64)  # distinct within a row
+                second.add(hashes[first.has(hashes)])
+                first.add(hashes)
+                hashes = np.frombuffer(twice, np.uint64)
+                first.add(hashes)
+                second.add(hashes)
+        for s, (_, second) in filters.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([second.bits.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    return run
+
+
+def _suspects(rules: LineRules, filters, slices: int):
+    """Rows (doc_id, key): each document's distinct keys that may be in several documents."""
 
     def run(batches):
         bloom = {s: Bloom(np.frombuffer(b, np.uint8)) for s, b in filters.value.items()}
         for batch in few_rows(batches):
-            ids, keys, hashes = [], [], []
+            ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {k for k in line_keys(text, rules.least)[1] if k is not None}
+                own = distinct_keys(text, rules.least)
                 ids += [doc_id] * len(own)
                 keys += own
-                hashes += map(xxhash.xxh3_64_intdigest, own)
-            at = np.array(hashes, np.uint64)
-            part, may = at >> shift, np.zeros(len(at), bool)
-            for s, b in bloom.items():
-                mine = np.flatnonzero(part == np.uint64(s))
-                may[mine] = b.has(at[mine])
+            at = _digests(keys)[:, 0]
+            may = np.zeros(len(at), bool)
+            for s, own in _by_slice(slice_of(at, slices)):
+                may[own] = bloom[s].has(at[own])
             chosen = np.flatnonzero(may)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in chosen], id_type), pa.array([keys[i] for i in chosen], pa.binary())], names=["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in chosen], pa.int64()), pa.array([keys[i] for i in chosen], pa.binary())], names=["doc_id", "key"])
 
     return run
 
 
-def _digest(key: bytes) -> tuple[int, int]:
-    import xxhash
+_SENT = np.dtype([("h", "<u8"), ("g", "<u8"), ("n", "<i8"), ("keep", "<i8")])
+
 
-    d = xxhash.xxh3_128_intdigest(key)
-    return d >> 64, d & 0xFFFFFFFFFFFFFFFF
+def _sent_keys(rules: LineRules, slices: int):
+    """Map side beyond the broadcast: rows (slice, bits null, keys), packed (digest, documents, largest id) of the task's keys."""
 
+    def rows(seen: dict[bytes, list[int]]) -> pa.RecordBatch:
+        packed = np.zeros(len(seen), _SENT)
+        both = np.frombuffer(b"".join(seen), ">u8").reshape(-1, 2)
+        packed["h"], packed["g"] = both[:, 0], both[:, 1]
+        packed["n"], packed["keep"] = np.array(list(seen.values()), np.int64).reshape(-1, 2).T
+        own = list(_by_slice(slice_of(packed["h"], slices)))
+        columns = [pa.array([s for s, _ in own], pa.int32()), pa.nulls(len(own), pa.binary()), pa.array([packed[at].tobytes() for _, at in own], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["slice", "bits", "keys"])
 
-def _confirmed_digests(batches):
+    def run(batches):
+        import xxhash
+
+        seen: dict[bytes, list[int]] = {}
+        for batch in few_rows(batches):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                doc_id = NULL_ID if doc_id is None else doc_id
+                for key in distinct_keys(text, rules.least):
+                    own = seen.setdefault(xxhash.xxh3_128_digest(key), [0, doc_id])
+                    own[0] += 1
+                    own[1] = max(own[1], doc_id)
+                if len(seen) >= rules.flush:
+                    yield rows(seen)
+                    seen = {}
+        if seen:
+            yield rows(seen)
+
+    return run
+
+
+def _let_through(batches):
+    """A slice's filter comes first, then its keys: those that may be twice-seen go on as rows (h, g, n, keep)."""
+    blooms: dict[int, Bloom] = {}
+    for batch in few_rows(batches, 16):
+        for s, bits, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bits is not None:
+                blooms[s] = Bloom(np.frombuffer(bits, np.uint8))
+                continue
+            own = np.frombuffer(keys, _SENT)
+            own = own[blooms[s].has(own["h"])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[c]).view(np.int64)) for c in ("h", "g", "n", "keep")], names=["h", "g", "n", "keep"])
+
+
+def _key_digests(batches):
     for batch in batches:
-        pairs = [_digest(k) for k in batch.column(0).to_pylist()]
-        h = pa.array(np.array([p[0] for p in pairs], np.uint64).view(np.int64))
-        g = pa.array(np.array([p[1] for p in pairs], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([h, g, batch.column(1)], names=["h", "g", "keep"])
+        at = _digests(batch.column(0).to_pylist()).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), batch.column(1), batch.column(2)], names=["h", "g", "n", "keep"])
 
 
-def _applied(rules: LineRules, names: list[str], at_id: int, at_text: int, table, at_drops: int | None):
-    """Whole texts without the lines that go: by the broadcast table of digests, or by each row's own drops."""
+def _document_digests(rules: LineRules):
+    """Rows (doc_id, h, g): the digests of each document's distinct keys; a null id is NULL_ID."""
 
     def run(batches):
-        known = table.value if table is not None else None
         for batch in few_rows(batches):
-            ids, texts = batch.column(at_id).to_pylist(), batch.column(at_text).to_pylist()
-            drops = [None] * len(ids) if at_drops is None else batch.column(at_drops).to_pylist()
-            cut = [line_keys(t, rules.least) for t in texts]
-            gone: list[set[bytes] | list] = []
-            if known is None:
-                gone = [set(d or ()) for d in drops]
-            else:
-                own = [[k for k in {*keys} if k is not None] for _, keys in cut]
-                pairs = [_digest(k) for ks in own for k in ks]
-                h, g = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.uint64)
-                at = np.minimum(np.searchsorted(known[0], h), max(len(known[0]) - 1, 0))
-                hit = (known[0][at] == h) & (known[1][at] == g) if len(known[0]) else np.zeros(len(h), bool)
-                k = 0
-                for doc_id, ks in zip(ids, own, strict=True):
-                    gone.append({key for j, key in enumerate(ks, k) if hit[j] and known[2][at[j]] != (NULL_ID if doc_id is None else doc_id)})
-                    k += len(ks)
+            ids, keys = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = distinct_keys(text, rules.least)
+                ids += [NULL_ID if doc_id is None else doc_id] * len(own)
+                keys += own
+            at = _digests(keys).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["doc_id", "h", "g"])
+
+    return run
+
+
+def _applied(rules: LineRules, table, with_drops: bool):
+    """Whole texts without the lines that go: by the broadcast table of digests, and by each row's own drops."""
+
+    def run(batches):
+        known, lasts = table.value
+        for batch in few_rows(batches):
+            ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            drops = batch.column(3).to_pylist() if with_drops else [None] * len(ids)
             kept, n_lines, n_dropped = [], [], []
-            for (lines, keys), out in zip(cut, gone, strict=True):
+            cut = [line_keys(t, rules.least) for t in texts]
+            own = [[*{k for k in keys if k is not None}] for _, keys in cut]
+            at = _digests([k for ks in own for k in ks])
+            where = np.zeros(len(at), np.int64)
+            hit = np.zeros(len(at), bool)
+            if len(known):
+                pairs = at.view(_PAIR).ravel()
+                where = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+                hit = known[where] == pairs
+            last, k = lasts[where] if len(known) else where, 0
+            for doc_id, ks, dropped, (lines, keys) in zip(ids, own, drops, cut, strict=True):
+                doc_id = NULL_ID if doc_id is None else doc_id
+                out = {key for j, key in enumerate(ks, k) if hit[j] and last[j] != doc_id}
+                if dropped:
+                    named = {(x["h"], x["g"]) for x in dropped}
+                    out |= {key for key, pair in zip(ks, at[k : k + len(ks)].view(np.int64).tolist(), strict=True) if tuple(pair) in named}
+                k += len(ks)
                 left = [x for x, key in zip(lines, keys, strict=True) if key not in out] if out else lines
                 kept.append("\n".join(left))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(left))
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_lines", "n_dropped", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["_row", *RESULTS])
 
     return run
 
 
+RESULTS = ("n_lines", "n_dropped", "kept_text")
+_PAIR = np.dtype([("h", "<u8"), ("g", "<u8")])
+
+
+def _table(keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted digests and the ids that keep them, of a bounded number of confirmed keys."""
+    found = keys.select("h", "g", "keep").toArrow()
+    pairs = np.zeros(found.num_rows, _PAIR)
+    pairs["h"], pairs["g"] = (found.column(c).to_numpy().view(np.uint64) for c in ("h", "g"))
+    order = np.argsort(pairs, order=("h", "g"))
+    return pairs[order], found.column("keep").fill_null(NULL_ID).to_numpy()[order]
+
+
+def confirmed_keys(texts: DataFrame, rules: LineRules) -> DataFrame:
+    """Stored rows (h, g, n, keep): the digests of keys of enough documents, their number, and the largest id."""
+    spark = texts.sparkSession
+    hashes = stored(texts.select("text").mapInArrow(_own_hashes(rules), "once binary, twice binary, n long"), "hashes")
+    n = hashes.agg(F.sum("n")).first()[0] or 0
+    slices = max(1, -(-n // rules.slice_hashes))
+    size = 1 << max(6, (int(n / slices * rules.bits_per_hash / 8) - 1).bit_length())
+    sent = hashes.select("once", "twice").mapInArrow(_sent_hashes(slices), "slice int, once binary, twice binary")
+    filters = sent.repartitionById(slices, "slice").mapInArrow(_slice_filters(size), "slice int, bits binary")
+    if slices * size <= rules.filter_bytes:
+        shared = spark.sparkContext.broadcast({r["slice"]: bytes(r["bits"]) for r in filters.collect()})  # at most filter_bytes
+        suspects = texts.mapInArrow(_suspects(rules, shared, slices), "doc_id long, key binary")
+        found = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).filter(F.col("n") >= rules.documents)
+        return stored(found.mapInArrow(_key_digests, "h long, g long, n long, keep long"), "lines")
+    filters = stored(filters, "filters").select("slice", "bits", F.lit(None).cast("binary").alias("keys"))
+    keys = texts.mapInArrow(_sent_keys(rules, slices), "slice int, bits binary, keys binary")
+    dealt = filters.unionAll(keys).repartitionById(slices, "slice").sortWithinPartitions(F.col("bits").isNull())
+    suspects = dealt.mapInArrow(_let_through, "h long, g long, n long, keep long")
+    found = suspects.groupBy("h", "g").agg(F.sum("n").alias("n"), F.max("keep").alias("keep"))
+    return stored(found.filter(F.col("n") >= rules.documents), "lines")
+
+
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: LineRules = LineRules(), columns: list[str] | None = None) -> DataFrame:
     """docs (or the named columns) with n_lines, n_dropped and kept_text.
 
     Keys found in at least ``documents`` rows lose all their lines but in the rows with the largest id.
-    Null text: one empty line.  Null ids are below all others and equal to each other.  Rows that repeat
-    an id each count as a document and all keep the lines if that id is the largest.  An empty table
-    gives an empty one; other columns stay, those named like results are replaced.
+    Null text: one empty line; an empty one likewise.  Null ids are below all others and equal to each other.
+    Rows that repeat an id each count as a document, and all keep the lines if that id is the largest.  A text
+    of any length is read whole; its distinct keys are held by one task at a time.  An empty table gives an
+    empty one; other columns stay whatever their names, those named like results (in any case) are replaced.
     """
     spark = docs.sparkSession
     ship(spark)
-    new = ("n_lines", "n_dropped", "kept_text")
-    keep = [c for c in (docs.columns if columns is None else columns) if c not in new]
+    keep = others(docs if columns is None else columns, RESULTS)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-
-    sent = texts.select("text").mapInArrow(_sent_hashes(rules), "slice int, once binary, twice binary")
-    filters = sent.groupBy("slice").applyInArrow(_slice_filter(rules), "slice int, bits binary")
-    bits = {r["slice"]: bytes(r["bits"]) for r in filters.collect()}  # at most filter_bytes
-    shared = spark.sparkContext.broadcast(bits)
-
-    suspects = texts.mapInArrow(_suspects(rules, shared, pa.int64()), "doc_id long, key binary")
-    confirmed = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep")).filter(F.col("n") >= rules.documents)
-    confirmed = stored(confirmed.select("key", "keep"), "lines")
-
-    rows = docs.select(*keep, F.col(doc_id).cast("long").alias("_id_"), F.col(text).alias("_text_"))
-    names = [*keep, "_id_", "_text_"]
-    schema = T.StructType([*rows.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
-    if confirmed.limit(rules.broadcast_keys + 1).count() <= rules.broadcast_keys:
-        found = confirmed.mapInArrow(_confirmed_digests, "h long, g long, keep long").toArrow()
-        h = found.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h, kind="stable")
-        keeps = found.column("keep").fill_null(NULL_ID).to_numpy()[order]
-        if len(np.unique(h)) == len(h):
-            table = spark.sparkContext.broadcast((h[order], found.column("g").to_numpy().view(np.uint64)[order], keeps))
-            out = rows.mapInArrow(_applied(rules, names, len(keep), len(keep) + 1, table, None), schema)
-            return out.drop("_id_", "_text_")
-    drops = suspects.join(confirmed, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keep")))
-    drops = drops.groupBy(F.col("doc_id").alias("_drop_id_")).agg(F.collect_set("key").alias("_drops_"))
-    rows = rows.join(drops, F.col("_id_").eqNullSafe(F.col("_drop_id_")), "left").select(*names, "_drops_")
-    schema = T.StructType([*rows.schema.fields[:-1], *schema.fields[-3:]])
-    out = rows.mapInArrow(_applied(rules, names, len(keep), len(keep) + 1, None, len(keep) + 2), schema)
-    return out.drop("_id_", "_text_")
+    confirmed = confirmed_keys(texts, rules)
+    rows = docs.select(whole_row(keep), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
+    few = confirmed.limit(rules.broadcast_keys + 1).count() <= rules.broadcast_keys
+    often = confirmed
+    if not few:  # at most hot_share keys are in so many documents, or a few times that with long documents
+        most = max(256, docs.select(doc_id).count() // rules.hot_share)
+        often = confirmed.filter(F.col("n") > most).orderBy(F.col("n").desc(), "h", "g").limit(rules.broadcast_keys)
+        often = stored(often, "often")
+        seldom = confirmed.join(F.broadcast(often.select("h", "g")), ["h", "g"], "left_anti") if rules.broadcast_keys else confirmed
+        own = texts.mapInArrow(_document_digests(rules), "doc_id long, h long, g long")
+        last = F.coalesce("keep", F.lit(NULL_ID))
+        drops = own.join(seldom, ["h", "g"]).filter(F.col("doc_id") != last).groupBy("doc_id").agg(F.collect_set(F.struct("h", "g")).alias("drops"))
+        drops = drops.withColumnRenamed("doc_id", "at")
+        rows = rows.join(drops, F.coalesce("id", F.lit(NULL_ID)) == F.col("at"), "left").select("_row", "id", "text", "drops")
+    table = spark.sparkContext.broadcast(_table(often))
+    return rows.mapInArrow(_applied(rules, table, not few), schema).select("_row.*", *RESULTS)

@@ -66,7 +66,7 @@ def kept(df):
     return multiset(df.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256)).collect())
 
 
-@pytest.mark.parametrize("rules", [LineRules(), LineRules(broadcast_keys=0), LineRules(filter_bytes=64 * 64, flush=2)])
+@pytest.mark.parametrize("rules", [LineRules(), LineRules(broadcast_keys=0), LineRules(broadcast_keys=1), LineRules(slice_hashes=1, flush=2), LineRules(slice_hashes=1, flush=3, filter_bytes=64), LineRules(slice_hashes=2, filter_bytes=0, broadcast_keys=0)])
 def test_line_dedup_on_odd_rows(docs, none, rules):
     assert kept(line_dedup(docs, rules=rules)) == multiset(brute.lines(ODD))
     assert line_dedup(none, rules=rules).isEmpty()
