@@ -1,16 +1,22 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-Items are cut into windows of item words.  Words are ordered by their count over all documents, and
-a window's necessary prefix, for exact containment, is its rarest word.  A document's words join
-those prefixes; the place of the prefix word in its window bounds where the window can start and end;
-what is left is compared word by word.  Documents are never shuffled: windows go out in slices of a
-bounded size, and each slice is one more narrow step over the same rows.
+Items are cut into windows of item words, the shingles.  Words are ordered by their count over all documents,
+and that orders shingles too: a window's necessary prefix, for exact containment, is its rarest word (a
+window stands where all its words do, so where its rarest does).  A document's words join those prefixes; the
+place of the prefix word in its window and the window's length bound where the window can start and end; what
+is left is compared word by word.
+
+Documents are never shuffled, and read twice: once to count the words of all windows, once to be held against
+them.  Windows lie in slices of a bounded number of (item, window) rows, so a window of many items is split.
+A worker holds one slice at a time: it gathers documents of a bounded size and loads slice after slice.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,15 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few_rows, ship, stored, words_of
+from .common import few_rows, others, scratch_dir, shared_fs, ship, stored, whole_row, with_small, words_of
 
 
 @dataclass(frozen=True)
 class LeakRules:
     #: Words of a window; an item with fewer, but not none, is one window.
     window: int = 13
-    #: Windows that are broadcast at a time, about 300 bytes each.
+    #: Rows (item, window) of a slice, about 300 bytes each in a worker.
     slice_windows: int = 100_000
+    #: Bytes of texts that a worker holds against all slices at a time; a longer text goes alone.
+    held_bytes: int = 32 << 20
+    #: Words of windows that may be broadcast to count them alone; beyond, all words are counted.
+    vocabulary: int = 500_000
     #: A document is contaminated if this times its hit words reach its words.
     hit_factor: int = 20
     #: Whether clean_text, the text without its hits, is wanted; else it is null.
@@ -36,43 +46,102 @@ class LeakRules:
 
 def _windows(rules: LeakRules):
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, grams = [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 n = min(rules.window, len(words))
                 own = {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
                 ids += [item] * len(own)
-                grams += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(grams, pa.binary())], names=["item", "gram"])
+                grams += [g.decode("utf-8", "surrogatepass") for g in own]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(grams, pa.string())], names=["item", "gram"])
 
     return run
 
 
-def _counts(vocabulary):
-    """Map side of the counts of item words over all documents: one row per word and task."""
+def _counts(vocabulary, most: int):
+    """Map side of the counts of words over all documents: one row per word and flush."""
+
+    def rows(total: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
     def run(batches):
-        known, total = vocabulary.value, Counter()
+        known, total = None if vocabulary is None else vocabulary.value, Counter()
         for batch in few_rows(batches):
             for text in batch.column(0).to_pylist():
-                total.update(filter(known.__contains__, words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+                words = words_of(text)
+                total.update(words if known is None else filter(known.__contains__, words))
+            if len(total) > most:
+                yield rows(total)
+                total = Counter()
+        yield rows(total)
 
     return run
 
 
-def prefixes(grams: dict[bytes, list], counts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
-    """For each window's rarest word: its places in windows and those windows' lengths."""
+def word_counts(texts: DataFrame, words: DataFrame, rules: LeakRules) -> DataFrame:
+    """Rows (word, n): how often stored words stand in all documents, in one pass over them."""
+    spark = texts.sparkSession
+    vocabulary = None
+    if words.limit(rules.vocabulary + 1).count() <= rules.vocabulary:
+        vocabulary = spark.sparkContext.broadcast(frozenset(w.encode("utf-8", "surrogatepass") for w in words.toArrow().column(0).to_pylist()))
+    counted = texts.mapInArrow(_counts(vocabulary, rules.vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stored(counted if vocabulary is not None else counted.join(words, "word", "left_semi"), "counts")
+
+
+def window_slices(texts: DataFrame, benchmark: DataFrame, rules: LeakRules, text: str, item: str) -> list[str]:
+    """Folders of slices with rows (gram, item, place of its rarest word, its length in words).
+
+    Windows with a word of no document occur nowhere and are left out.
+    """
+    spark = texts.sparkSession
+    named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
+    grams = stored(named.mapInArrow(_windows(rules), "item string, gram string").distinct(), "windows")
+    n = grams.count()
+    if not n:
+        return []
+    places = grams.select("gram").distinct().select("gram", F.posexplode(F.split("gram", " ", -1)).alias("place", "word"))
+    counts = word_counts(texts, stored(places.select("word").distinct(), "words"), rules)
+    ranked = with_small(places, counts, "word").groupBy("gram").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("least"), F.count(F.lit(1)).cast("int").alias("length"))
+    prefixed = grams.join(ranked.filter("least.n > 0").select("gram", F.col("least.place").alias("place"), "length"), "gram")
+    slices = -(-n // rules.slice_windows)
+    folder = scratch_dir(spark, "slices")
+    part = F.pmod(F.xxhash64("gram", "item"), F.lit(slices)).cast("int")
+    prefixed.select("gram", "item", "place", "length", part.alias("part")).repartition(slices, "part").write.partitionBy("part").parquet(folder)
+    return [f"{folder}/part={k}" for k in range(slices)]
+
+
+def prefixes(grams: dict[bytes, tuple[int, int]]) -> dict[bytes, list[tuple[int, int]]]:
+    """For each window's prefix word: its places in windows and those windows' lengths."""
     out: dict[bytes, set[tuple[int, int]]] = {}
-    for gram in grams:
-        words = gram.split(b" ")
-        k = min(range(len(words)), key=lambda i: (counts.get(words[i], 0), words[i], i))
-        if counts.get(words[k], 0):  # a word of no document: its windows occur nowhere
-            out.setdefault(words[k], set()).add((k, len(words)))
+    for gram, (place, length) in grams.items():
+        out.setdefault(gram.split(b" ")[place], set()).add((place, length))
     return {w: sorted(places) for w, places in out.items()}
 
 
+def loaded(folder: str) -> tuple[dict, dict]:
+    """(windows with their items, prefixes) of a slice; the worker keeps the last one it has loaded."""
+    last = sys.__dict__.setdefault("_sitlake_slice", {})
+    if folder not in last:
+        last.clear()
+        from pyarrow import fs as pafs
+        from pyarrow import parquet
+
+        fs, root = shared_fs(folder)
+        grams: dict[bytes, list[str]] = {}
+        at: dict[bytes, tuple[int, int]] = {}
+        for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if not info.path.endswith(".parquet"):
+                continue
+            rows = parquet.ParquetFile(fs.open_input_file(info.path)).read()
+            for gram, item, place, length in zip(*(rows.column(c).to_pylist() for c in ("gram", "item", "place", "length")), strict=True):
+                gram = gram.encode("utf-8", "surrogatepass")
+                grams.setdefault(gram, []).append(item)
+                at[gram] = (place, length)
+        last[folder] = grams, prefixes(at)
+    return last[folder]
+
+
 def hits(words: list[bytes], prefix: dict, grams: dict[bytes, list]) -> tuple[list[tuple[int, int]], set]:
     """Verified windows in a document, as (start, end), and their items."""
     n, spans, items = len(words), [], set()
@@ -97,44 +166,60 @@ def without_spans(text: str, spans: list[dict]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _joined(window_slice, names: list[str], at_text: int, last: bool, rules: LeakRules):
-    """One slice's windows against whole documents; state of slices before comes and goes as columns."""
+def merged(spans: list[tuple[int, int]]) -> list[dict]:
+    """Sorted spans that neither meet nor overlap, over the same words."""
+    out: list[dict] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
+        else:
+            out.append({"start": start, "end": end})
+    return out
+
+
+def _held(batches, most: int) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Batches joined to about so many bytes."""
+    own: list[pa.RecordBatch] = []
+    for batch in few_rows(batches):
+        if own and sum(b.nbytes for b in own) + batch.nbytes > most:
+            yield pa.Table.from_batches(own).combine_chunks()
+            own = []
+        own.append(batch)
+    if own:
+        yield pa.Table.from_batches(own).combine_chunks()
+
+
+def _joined(slices: list[str], rules: LeakRules):
+    """Whole documents (_row, text) against all slices, one after the other."""
     import hashlib
 
     def run(batches):
-        grams, prefix = window_slice.value
-        for batch in few_rows(batches):
-            before = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_spans_", "_items_")}
-            out_spans, out_items, n_words = [], [], []
-            for text, spans, items in zip(batch.column(at_text).to_pylist(), before["_spans_"], before["_items_"], strict=True):
-                words = words_of(text)
-                found, own = hits(words, prefix, grams)
-                out_spans.append((spans or b"") + np.array(found, np.int32).tobytes())
-                out_items.append(sorted({*(items or ()), *own}))
-                n_words.append(len(words))
-            columns = [batch.column(i) for i in range(len(names))]
-            if not last:
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(out_spans, pa.binary()), pa.array(out_items, pa.list_(pa.string()))], names=[*names, "_spans_", "_items_"])
-                continue
-            n_hit, merged = [], []
-            for raw, n in zip(out_spans, n_words, strict=True):
-                edge = np.zeros(n + 1, np.int32)
-                pairs = np.frombuffer(raw, np.int32).reshape(-1, 2)
-                np.add.at(edge, pairs[:, 0], 1)
-                np.add.at(edge, pairs[:, 1], -1)
-                hit = np.cumsum(edge[:n]) > 0
-                n_hit.append(int(hit.sum()))
-                turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]).astype(np.int8)))
-                merged.append([{"start": int(a), "end": int(b)} for a, b in turn.reshape(-1, 2)])
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in out_items]
+        for held in _held(batches, rules.held_bytes) if len(slices) > 1 else few_rows(batches):
+            texts = held.column(1).to_pylist()
+            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+            items: list[set[str]] = [set() for _ in texts]
+            n_words = [0] * len(texts)
+            for folder in slices or [None]:
+                grams, prefix = loaded(folder) if folder else ({}, {})
+                for i, text in enumerate(texts):
+                    words = words_of(text)
+                    n_words[i] = len(words)
+                    found, own = hits(words, prefix, grams)
+                    spans[i] += found
+                    items[i] |= own
+            flat = [merged(x) for x in spans]
+            n_hit = [sum(s["end"] - s["start"] for s in x) for x in flat]
+            named = [sorted(x) for x in items]
+            digest = [hashlib.sha256(",".join(x).encode("utf-8", "surrogatepass")).hexdigest() for x in named]
             dirty = [h > 0 and rules.hit_factor * h >= n for h, n in zip(n_hit, n_words, strict=True)]
-            clean = [without_spans(t, m) if m else t for t, m in zip(batch.column(at_text).to_pylist(), merged, strict=True)] if rules.cut else [None] * len(merged)
+            clean = [without_spans(t, m) if m else t for t, m in zip(texts, flat, strict=True)] if rules.cut else [None] * len(flat)
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            row = held.column(0)
             results = [
-                pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in out_items], pa.int64()),
-                pa.array(digest, pa.string()), pa.array(dirty, pa.bool_()), pa.array(merged, span), pa.array(out_items, pa.list_(pa.string())), pa.array(clean, pa.string()),
+                row if isinstance(row, pa.Array) else row.combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in named], pa.int64()),
+                pa.array(digest, pa.string()), pa.array(dirty, pa.bool_()), pa.array(flat, span), pa.array(named, pa.list_(pa.string())), pa.array(clean, pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays([*columns, *results], names=[*names, *RESULTS])
+            yield pa.RecordBatch.from_arrays(results, names=["_row", *RESULTS])
 
     return run
 
@@ -143,45 +228,20 @@ RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_s
 _RESULT_TYPES = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:int,end:int>>, item_ids array<string>, clean_text string"
 
 
-def window_slices(docs: DataFrame, benchmark: DataFrame, rules: LeakRules, text: str, item: str) -> list:
-    """Broadcast slices of (windows with their items, prefixes); no window is in two slices."""
-    spark = docs.sparkSession
-    named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
-    grams = stored(named.mapInArrow(_windows(rules), "item string, gram binary").distinct(), "windows")
-    n = grams.count()
-    slices = max(1, -(-n // rules.slice_windows))
-    grams = grams.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(slices)))
-    out = []
-    for k in range(slices):
-        rows = grams.filter(F.col("part") == k).select("item", "gram").toArrow()
-        own: dict[bytes, list] = {}
-        for i, g in zip(rows.column("item").to_pylist(), rows.column("gram").to_pylist(), strict=True):
-            own.setdefault(g, []).append(i)
-        known = frozenset(w for g in own for w in g.split(b" "))
-        vocabulary = spark.sparkContext.broadcast(known)
-        counted = docs.select("text").mapInArrow(_counts(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        counts = {bytes(r["word"]): r["n"] for r in counted.collect()} if known else {}  # words of the slice only
-        vocabulary.unpersist()
-        out.append(spark.sparkContext.broadcast((own, prefixes(own, counts))))
-    return out
-
-
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", item_text: str = "text", item: str = "item_id", rules: LeakRules = LeakRules(), columns: list[str] | None = None
 ) -> DataFrame:
     """docs (or the named columns) with n_words, n_hit, n_items, items_sha256, contaminated, hit_spans, item_ids, clean_text.
 
-    Null and empty texts have no words and no windows.  A null item id counts as the id ''.  Items that
-    repeat an id count once; equal items all count.  Equal rows get equal results; an empty table on
-    either side is no error.  Other columns stay; those named like results are replaced.
+    Null and empty texts have no words and no windows; a text of any length is read whole.  A null item id
+    counts as the id ''.  Items that repeat an id count once; equal items all count.  Equally rare words of a
+    window tie by the word and its place, which changes no result.  Equal rows get equal results; an empty
+    table on either side is no error.  Other columns stay whatever their names; those named like results (in
+    any case) are replaced.
     """
     ship(docs.sparkSession)
-    keep = [c for c in (docs.columns if columns is None else columns) if c not in RESULTS]
-    rows = docs.select(*keep, F.col(doc_text).alias("_text_"), F.lit(None).cast("binary").alias("_spans_"), F.lit(None).cast("array<string>").alias("_items_"))
-    slices = window_slices(docs.select(F.col(doc_text).alias("text")), benchmark, rules, item_text, item)
-    names = [*keep, "_text_"]
-    for k, window_slice in enumerate(slices):
-        last = k == len(slices) - 1
-        schema = rows.schema if not last else T.StructType([*rows.schema.fields[: len(names)], *T._parse_datatype_string(_RESULT_TYPES).fields])
-        rows = rows.mapInArrow(_joined(window_slice, names, len(keep), last, rules), schema)
-    return rows.drop("_text_")
+    keep = others(docs if columns is None else columns, RESULTS)
+    rows = docs.select(whole_row(keep), F.col(doc_text).alias("text"))
+    slices = window_slices(rows.select("text"), benchmark, rules, item_text, item)
+    schema = T.StructType([rows.schema["_row"], *T._parse_datatype_string(_RESULT_TYPES).fields])
+    return rows.mapInArrow(_joined(slices, rules), schema).select("_row.*", *RESULTS)

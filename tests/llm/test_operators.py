@@ -159,7 +159,7 @@ def test_token_query(spark, small):
 # decontamination
 
 
-@pytest.mark.parametrize("rules", [LeakRules(), LeakRules(slice_windows=3, cut=True)])
+@pytest.mark.parametrize("rules", [LeakRules(), LeakRules(slice_windows=3, cut=True), LeakRules(slice_windows=4, held_bytes=100, vocabulary=2)])
 def test_decontaminate_on_odd_rows(spark, docs, none, rules):
     items = [(1, "a b c d e f g h i j k l m n"), (1, "a b c d e f g h i j k l m n"), (2, "MIT license"), (None, "other"), (3, None), (4, ""), (5, LONG[:300])]
     bench = spark.createDataFrame(items, "item_id long, text string")

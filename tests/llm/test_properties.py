@@ -89,8 +89,8 @@ def test_line_keys(text):
 def test_prefix_join_finds_every_window(doc, items):
     words = [w.encode() for w in doc]
     grams = {" ".join(i).encode(): [str(k)] for k, i in enumerate(items)}
-    counts = {w: words.count(w) for w in words}
-    spans, _ = hits(words, prefixes(grams, counts), grams)
+    rarest = {g: min(range(len(g.split())), key=lambda i: words.count(g.split()[i])) for g in grams}
+    spans, _ = hits(words, prefixes({g: (k, len(g.split())) for g, k in rarest.items()}), grams)
     want = {(p, p + len(g.split())) for g in grams for p in range(len(words)) if words[p : p + len(g.split())] == g.split()}
     assert set(spans) == want
 
