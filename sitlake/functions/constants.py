@@ -37,3 +37,10 @@ DEFAULTS: dict[str, str | None] = {
     "consecutive_poor_before_alert": "2", "blur_intensity": "5", "blur_auto_remove": "true", "front_camera_id": None,
     "side_camera_id": None, "capture_width": "640", "capture_height": "480",
 }
+
+#: Modes that lay something over a page.
+OVERLAYS = ("blur", "bananas")
+#: Texts of alerts and praises.
+WILD_TITLE, WILD_MESSAGE = "Posture alarm", "Sit up straight!"
+POOR_MESSAGES = ("Sit up, shoulders back.", "Chin in, chest up.", "Time to reset your posture.", "Your back asks for a stretch.", "You lean forward: straighten up.")
+GOOD_MESSAGES = ("Well done, keep it up.", "You sit tall again.", "Your back thanks you.")

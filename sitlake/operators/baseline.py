@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import CALIBRATION_FRAMES, METRICS
@@ -15,10 +15,24 @@ def calibration_frames(frames: DataFrame, count: int = CALIBRATION_FRAMES) -> Da
     return frames.withColumn("frame_no", F.row_number().over(order)).filter(F.col("frame_no") <= count)
 
 
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def mean_in_order(values: Column) -> Column:
+    return F.when(F.size(values) > 0, total(values) / F.size(values))
+
+
+def deviation(values: Column, mean: Column) -> Column:
+    """Population deviation of two values or more."""
+    return F.when(F.size(values) > 1, F.sqrt(total(F.transform(values, lambda v: (v - mean) * (v - mean))) / F.size(values)))
+
+
 def wide_baseline(frames: DataFrame, role: str) -> DataFrame:
     """(user_id, b): b has each metric's mean, and b_sd its population deviation.
 
-    Frames that cannot be measured are dropped.  Only metrics of the first frame that can be measured
+    Frames that cannot be measured are dropped.  Sums run in order of the frames, at most a calibration's few,
+    so reruns agree to the last bit.  Only metrics of the first frame that can be measured
     enter; the mean skips frames that lack one; a deviation needs two values.
     """
     rows = with_metrics(calibration_frames(frames), role).filter("m IS NOT NULL")
@@ -26,10 +40,16 @@ def wide_baseline(frames: DataFrame, role: str) -> DataFrame:
     seen = F.min_by("m", "frame_id")
     stats = rows.groupBy("user_id").agg(
         seen.alias("first"),
-        *[F.avg(F.col("m")[n]).alias(n) for n in names],
-        *[F.when(F.count(F.col("m")[n]) > 1, F.stddev_pop(F.col("m")[n])).alias(f"{n}_sd") for n in names],
+        F.sort_array(F.collect_list(F.struct("frame_id", "m"))).alias("all"),
     )
 
+    def values(name: str) -> Column:
+        return F.filter(F.transform("all", lambda x: x["m"][name]), lambda v: v.isNotNull())
+
+    stats = stats.select("user_id", "first", *[values(n).alias(n) for n in names])
+    stats = stats.select("user_id", "first", *[F.struct(F.col(n).alias("all"), mean_in_order(F.col(n)).alias("mean")).alias(f"{n}_of") for n in names])
+    stats = stats.select("user_id", "first", *[F.col(f"{n}_of.mean").alias(n) for n in names], *[deviation(F.col(f"{n}_of.all"), F.col(f"{n}_of.mean")).alias(f"{n}_sd") for n in names])
+
     def known(suffix: str):
         return F.struct(*[F.when(F.col("first")[n].isNotNull(), F.col(n + suffix)).alias(n) for n in names])
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import SNOOZE
 from ..functions.scores import status_of
 from .settings import check_period
 
@@ -26,8 +27,8 @@ def score_ring(checks: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def countdown(due: Column, now: Column) -> Column:
-    """Whole seconds until the next check, never below 0."""
-    return F.greatest(F.lit(0), F.round((F.unix_micros(due) - F.unix_micros(now)) / 1e6).cast("int"))
+    """Whole seconds until the next check, never below 0; null without one."""
+    return F.when(due.isNotNull(), F.greatest(F.lit(0), F.round((F.unix_micros(due) - F.unix_micros(now)) / 1e6).cast("int")))
 
 
 def delivery_target(pages: DataFrame, group: str) -> DataFrame:
@@ -38,16 +39,52 @@ def delivery_target(pages: DataFrame, group: str) -> DataFrame:
     return rows.select(group, F.when(~F.coalesce(F.col("_first"), F.lit("")).rlike(CLOSED_PAGES), F.col("_first")).otherwise(F.col("_web")).alias("url"))
 
 
-def schedule(checks: DataFrame, settings: DataFrame, fixed: DataFrame, recheck_seconds: int = 10) -> DataFrame:
-    """When each user is checked next: a period after the last check, or a recheck after a later "fixed" control."""
+def schedule(
+    checks: DataFrame, settings: DataFrame, fixed: DataFrame, snoozes: DataFrame | None = None, manual: DataFrame | None = None, recheck_seconds: int = 10, snooze_seconds: int = SNOOZE
+) -> DataFrame:
+    """When each user is checked next: (user_id, period_seconds, regular_at, due_at, trigger).
+
+    The regular check comes a period after the last one, or when a snooze ends that no check has followed.  A
+    recheck comes shortly after a "fixed" control, and a manual request at once, whether or not the user
+    monitors, where no check has followed.  due_at is the first of them and trigger its kind.
+    """
+    rows = settings.select("user_id", check_period(F.col("check_interval_seconds")).alias("period_seconds"))
     last = checks.groupBy("user_id").agg(F.max("ts").alias("_last"))
-    again = fixed.groupBy("user_id").agg(F.max("ts").alias("_fixed"))
-    rows = settings.select("user_id", check_period(F.col("check_interval_seconds")).alias("period_seconds")).join(last, "user_id", "left").join(again, "user_id", "left")
+    rows = rows.join(last, "user_id", "left")
+    for name, marks in (("_fixed", fixed), ("_snooze", snoozes), ("_manual", manual)):
+        if marks is None:
+            rows = rows.withColumn(name, F.lit(None).cast("timestamp"))
+        else:
+            rows = rows.join(marks.groupBy("user_id").agg(F.max("ts").alias(name)), "user_id", "left")
 
     def after(start: Column, seconds: Column) -> Column:
         return F.timestamp_micros(F.unix_micros(start) + seconds.cast("long") * 1_000_000)
 
-    regular = after(F.col("_last"), F.col("period_seconds"))
-    recheck = F.when(F.coalesce(F.col("_fixed") >= F.col("_last"), F.col("_fixed").isNotNull()), after(F.col("_fixed"), F.lit(recheck_seconds)))
-    return rows.select("user_id", "period_seconds", F.least(regular, recheck).alias("due_at"))
+    def open_(name: str) -> Column:
+        return F.coalesce(F.col(name) >= F.col("_last"), F.col(name).isNotNull())
+
+    regular = F.when(open_("_snooze"), after(F.col("_snooze"), F.lit(snooze_seconds))).otherwise(after(F.col("_last"), F.col("period_seconds")))
+    recheck = F.when(open_("_fixed"), after(F.col("_fixed"), F.lit(recheck_seconds)))
+    rows = rows.select("user_id", "period_seconds", regular.alias("regular_at"), recheck.alias("_re"), F.when(open_("_manual"), F.col("_manual")).alias("_now"))
+    due = F.least("regular_at", "_re", "_now")
+    trigger = F.when(F.col("_now") == due, "manual").when(F.col("_re") == due, "recheck").when(due.isNotNull(), "regular")
+    return rows.select("user_id", "period_seconds", "regular_at", due.alias("due_at"), trigger.alias("trigger"))
+
+
+def result_line(scored: DataFrame) -> DataFrame:
+    """(user_id, frame_id, line): the JSON that a log shows of results without a score."""
+    return scored.filter("score IS NULL").select("user_id", "frame_id", F.to_json(F.struct("score", "status"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def encoded(text: Column) -> Column:
+    """A text as a component of a URL."""
+    out = F.url_encode(text)
+    for form, component in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(form), F.lit(component))
+    return out
+
 
+def pairing_link(peers: DataFrame, page: str, code: str) -> DataFrame:
+    """(peer_id, link, code_url): the page that pairs a phone, and the address of a code that shows it."""
+    link = F.concat(F.lit(f"{page}/#peer="), F.col("peer_id"))
+    return peers.select("peer_id", link.alias("link"), F.concat(F.lit(code), encoded(link)).alias("code_url"))

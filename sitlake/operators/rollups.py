@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import KEPT_CHECKS, KEPT_DAYS
 from ..functions.scores import status_of
 
 
-def daily_summary(checks: DataFrame) -> DataFrame:
-    """Counts, sum and rounded average per user and UTC day; partial sums precede the shuffle."""
-    rows = checks.withColumn("day", F.to_date("ts"))
+def local_micros(zone: str, ts: str = "ts") -> Column:
+    """Microseconds of a zone's wall clock, whatever the session's zone."""
+    return F.unix_micros(F.col(ts) if zone == "UTC" else F.from_utc_timestamp(ts, zone))
+
+
+def local_day(zone: str = "UTC", ts: str = "ts") -> Column:
+    """The day of an instant on a zone's wall clock."""
+    return F.date_from_unix_date(F.floor(local_micros(zone, ts) / F.lit(86_400_000_000)).cast("int"))
+
+
+def local_hour(zone: str = "UTC", ts: str = "ts") -> Column:
+    """The hour of an instant on a zone's wall clock."""
+    return F.pmod(F.floor(local_micros(zone, ts) / F.lit(3_600_000_000)), F.lit(24)).cast("int")
+
+
+def daily_summary(checks: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Counts, sum and rounded average per user and day of a zone; partial sums precede the shuffle."""
+    rows = checks.withColumn("day", local_day(zone))
     counts = [F.count_if(F.col("status") == s).alias(f"{s}_checks") for s in ("good", "fair", "poor")]
     days = rows.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("total_checks"), *counts, F.sum("score").alias("total_score"))
     return days.withColumn("average_score", F.round(F.col("total_score") / F.col("total_checks")).cast("int"))
 
 
-def local_hour(zone: str):
-    """The hour of an instant (session zone UTC) in a user's own zone."""
-    return F.hour(F.from_utc_timestamp("ts", zone))
-
-
 def hourly_summary(checks: DataFrame, zone: str = "UTC") -> DataFrame:
-    rows = checks.select("user_id", F.to_date("ts").alias("day"), local_hour(zone).alias("hour"), "score")
+    """Sums and counts per user, UTC day and hour of a zone's clock: the day and the hour are different clocks."""
+    rows = checks.select("user_id", local_day().alias("day"), local_hour(zone).alias("hour"), "score")
     return rows.groupBy("user_id", "day", "hour").agg(F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("n"))
 
 
 def hourly_summary_compat(checks: DataFrame, zone: str = "UTC") -> DataFrame:
     """As the running bucket counts: it starts anew while its sum is 0, so n counts from the first score above 0 (1 if none is)."""
-    rows = checks.select("user_id", "seq", "ts", F.to_date("ts").alias("day"), local_hour(zone).alias("hour"), "score")
+    rows = checks.select("user_id", "seq", "ts", local_day().alias("day"), local_hour(zone).alias("hour"), "score")
     so_far = Window.partitionBy("user_id", "day", "hour").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_sum", F.sum("score").over(so_far))
     n = F.greatest(F.count_if(F.col("_sum") > 0), F.lit(1))

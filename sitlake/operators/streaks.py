@@ -8,15 +8,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import POOR_BEFORE_ALERT
+from ..functions.constants import DEFAULTS, GOOD_MESSAGES, OVERLAYS, POOR_BEFORE_ALERT, POOR_MESSAGES, WILD_MESSAGE, WILD_TITLE
 
 
-def with_streaks(checks: DataFrame, keys: tuple[str, ...] = ("user_id",), needed: int = POOR_BEFORE_ALERT) -> DataFrame:
+def judged(checks: DataFrame, typed: DataFrame) -> DataFrame:
+    """checks with their user's settings (needed, notify_poor, notify_recovery, mode, auto_remove); users without any have the defaults.
+
+    Joined on the key that the windows over checks need anyway.
+    """
+    base = {"needed": POOR_BEFORE_ALERT, "notify_poor": True, "notify_recovery": True, "mode": DEFAULTS["alert_mode"], "auto_remove": True}
+    rows = checks.join(typed, "user_id", "left")
+    return rows.select(*checks.columns, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in base.items()])
+
+
+def with_streaks(
+    checks: DataFrame, keys: tuple[str, ...] = ("user_id",), needed: int | Column = POOR_BEFORE_ALERT, notify_poor: bool | Column = True, notify_recovery: bool | Column = True
+) -> DataFrame:
     """checks with consecutive_poor, streak_type, streak_started_at, alert and recovery.
 
     Poor checks in a row count up, any other sets the count to 0.  Good and fair share one streak.  Every
-    poor check from the ``needed``-th on alerts; a good check right after so many recovers.
+    poor check from the ``needed``-th on alerts if notify_poor; a good check right after so many recovers if
+    notify_recovery.  The three may be columns of checks, as judged() gives.
     """
+    needed, notify_poor, notify_recovery = (x if isinstance(x, Column) else F.lit(x) for x in (needed, notify_poor, notify_recovery))
     order = Window.partitionBy(*keys).orderBy("ts", "seq")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     poor = F.col("status") == "poor"
@@ -28,19 +42,34 @@ def with_streaks(checks: DataFrame, keys: tuple[str, ...] = ("user_id",), needed
     rows = rows.withColumn("_before", F.coalesce(F.lag("consecutive_poor").over(order), F.lit(0)))
     return rows.select(
         *checks.columns, "consecutive_poor", F.col("status").alias("streak_type"), "streak_started_at",
-        (F.col("_poor") & (F.col("consecutive_poor") >= needed)).alias("alert"),
-        ((F.col("_before") >= needed) & (F.col("status") == "good")).alias("recovery"),
+        (F.col("_poor") & (F.col("consecutive_poor") >= needed) & notify_poor).alias("alert"),
+        ((F.col("_before") >= needed) & (F.col("status") == "good") & notify_recovery).alias("recovery"),
     )
 
 
+def user_streaks(checks: DataFrame, typed: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """Streaks, alerts and recoveries by each user's own settings."""
+    return with_streaks(judged(checks, typed), keys, F.col("needed"), F.col("notify_poor"), F.col("notify_recovery"))
+
+
+def picked(texts: tuple[str, ...], by: Column) -> Column:
+    """One of some texts: the same for the same number in every run."""
+    return F.element_at(F.array(*[F.lit(t) for t in texts]), (F.pmod(by, F.lit(len(texts))) + 1).cast("int"))
+
+
 def alerts(streaks: DataFrame, mode: Column | None = None) -> DataFrame:
-    """Alert rows; a user's newest replaces the one before, as latest_alert gives."""
+    """Alert rows with title and message by mode; a user's newest replaces the one before, as latest_alert gives."""
     shown = F.lit("notification") if mode is None else mode
-    return streaks.filter("alert").select("user_id", "seq", "ts", F.lit("alert").alias("kind"), shown.alias("mode"), "score", F.concat(F.lit("Posture score "), F.col("score"), F.lit("/100")).alias("title"))
+    score = F.concat(F.col("score").cast("string"), F.lit("/100"))
+    wild = shown == "bananas"
+    title = F.when(wild, F.lit(WILD_TITLE)).otherwise(F.concat(F.lit("Posture score "), score))
+    message = F.when(wild, F.concat(F.lit("Score: "), score, F.lit(f". {WILD_MESSAGE}"))).otherwise(picked(POOR_MESSAGES, F.col("seq")))
+    return streaks.filter("alert").select("user_id", "seq", "ts", F.lit("alert").alias("kind"), shown.alias("mode"), "score", title.alias("title"), message.alias("message"))
 
 
 def recoveries(streaks: DataFrame) -> DataFrame:
-    return streaks.filter("recovery").select("user_id", "seq", "ts", F.lit("praise").alias("kind"), "score")
+    """Praise rows; each stands by itself."""
+    return streaks.filter("recovery").select("user_id", "seq", "ts", F.lit("praise").alias("kind"), "score", picked(GOOD_MESSAGES, F.col("seq")).alias("message"))
 
 
 def latest_alert(streaks: DataFrame) -> DataFrame:
@@ -49,15 +78,17 @@ def latest_alert(streaks: DataFrame) -> DataFrame:
     return streaks.filter("alert").groupBy("user_id").agg(one).select("user_id", "x.*")
 
 
-def overlay_state(streaks: DataFrame, mode: str = "blur", auto_remove: bool = True, removals: DataFrame | None = None) -> DataFrame:
+def overlay_state(
+    streaks: DataFrame, mode: str | Column = "blur", auto_remove: bool | Column = True, removals: DataFrame | None = None, delivered: bool | Column = True
+) -> DataFrame:
     """Whether an overlay shows after each check.
 
-    An alert turns it on, another check turns it off if auto_remove, and so does any row of ``removals``
-    (user_id, seq, ts): dismissals, buttons and stops, which come before checks of the same instant.
+    An alert that a page took (delivered) turns it on in the modes with an overlay; another check turns it off
+    if auto_remove, and so does any row of ``removals`` (user_id, seq, ts): dismissals, buttons and stops, which
+    come before checks of the same instant.  Mode, auto_remove and delivered may be columns.
     """
-    turn = F.when(F.col("alert"), mode in ("blur", "bananas"))
-    if auto_remove:
-        turn = turn.when(F.col("status") != "poor", False)
+    mode, auto_remove, delivered = (x if isinstance(x, Column) else F.lit(x) for x in (mode, auto_remove, delivered))
+    turn = F.when(F.col("alert") & mode.isin(*OVERLAYS) & delivered, True).when((F.col("status") != "poor") & auto_remove, False)
     rows = streaks.select("user_id", "seq", "ts", turn.alias("_turn"), F.lit(1).alias("_check"))
     if removals is not None:
         rows = rows.unionByName(removals.select("user_id", "seq", "ts", F.lit(False).alias("_turn"), F.lit(0).alias("_check")))

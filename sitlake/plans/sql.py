@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from ..functions.constants import CALIBRATION_FRAMES, DEFAULTS, KEPT_CHECKS, LANDMARKS, METRICS, MIN_PERIOD, SNOOZE
+from ..functions.constants import (
+    CALIBRATION_FRAMES, DEFAULTS, GOOD_MESSAGES, KEPT_CHECKS, LANDMARKS, METRICS, MIN_PERIOD, POOR_MESSAGES, SNOOZE, WILD_MESSAGE, WILD_TITLE,
+)
 from ..sources.tables import REACH, TEMPLATE
 
+#: Where phones are paired in the links of pairing_links.
+PAIR_PAGE, PAIR_CODE = "https://example.org/pair", "https://example.org/code?size=200x200&data="
 CHECKS = """checks AS (
   SELECT user_id, event_id AS seq, ts, s AS score, CASE WHEN s >= 75 THEN 'good' WHEN s >= 40 THEN 'fair' ELSE 'poor' END AS status
   FROM (SELECT *, CAST(round(least(100.0, greatest(0.0, value))) AS INTEGER) AS s FROM events WHERE value IS NOT NULL))"""
@@ -12,14 +16,21 @@ STREAKS = (
     CHECKS
     + """, t0 AS (
   SELECT *, status = 'poor' AS poor, row_number() OVER w AS no, coalesce((lag(status) OVER w = 'poor') <> (status = 'poor'), true) AS turn
-  FROM checks {on} WINDOW w AS (PARTITION BY {keys} ORDER BY ts, seq)),
+  FROM {source} {on} WINDOW w AS (PARTITION BY {keys} ORDER BY ts, seq)),
 t1 AS (SELECT *, max(CASE WHEN turn THEN no END) OVER w AS start_no, max(CASE WHEN turn THEN ts END) OVER w AS streak_started_at
   FROM t0 WINDOW w AS (PARTITION BY {keys} ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
 t2 AS (SELECT *, CASE WHEN poor THEN no - start_no + 1 ELSE 0 END AS consecutive_poor FROM t1),
-streaks AS (SELECT *, poor AND consecutive_poor >= 2 AS alert,
-  coalesce(lag(consecutive_poor) OVER (PARTITION BY {keys} ORDER BY ts, seq), 0) >= 2 AND status = 'good' AS recovery FROM t2)"""
+streaks AS (SELECT *, poor AND consecutive_poor >= {needed} AND {poor_ok} AS alert,
+  coalesce(lag(consecutive_poor) OVER (PARTITION BY {keys} ORDER BY ts, seq), 0) >= {needed} AND status = 'good' AND {good_ok} AS recovery FROM t2)"""
 )
-BY_USER = STREAKS.format(on="", keys="user_id")
+PLAIN = {"on": "", "needed": "2", "poor_ok": "true", "good_ok": "true", "source": "checks"}
+OWN = {"on": "JOIN judged USING (user_id)", "needed": "needed", "poor_ok": "notify_poor", "good_ok": "notify_recovery", "source": "checks"}
+JUDGED = """judged AS (SELECT user_id, consecutive_poor_before_alert::INTEGER AS needed, notify_on_poor = 'true' AS notify_poor, notify_on_recovery = 'true' AS notify_recovery,
+  alert_mode AS mode, blur_auto_remove = 'true' AS auto_remove FROM settings)"""
+CONTROLS = """controls AS (SELECT * FROM (SELECT user_id, event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'stop' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'snooze'
+  WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'dismiss' ELSE 'fixed' END END AS kind FROM events) WHERE kind IS NOT NULL)"""
+OFF = "('stop', 'dismiss', 'fixed', 'snooze')"
+BY_USER = STREAKS.format(keys="user_id", **PLAIN)
 DAILY = (
     CHECKS
     + """, days AS (
@@ -31,19 +42,22 @@ DAY_COLUMNS = "user_id, day, total_checks, good_checks, fair_checks, poor_checks
 STREAK_COLUMNS = "user_id, seq, ts, score, status, consecutive_poor, status AS streak_type, streak_started_at, alert, recovery"
 
 
-def points(role: str) -> str:
-    """Columns x, y and confidence of each landmark, null below the least confidence."""
+def points(role: str, covered: bool = False) -> str:
+    """Columns x, y and confidence of each landmark, null below the least confidence; some users' cameras may be covered."""
     out = []
     for i, name in enumerate(LANDMARKS):
         if name in TEMPLATE[role]:
             x, y = TEMPLATE[role][name]
             e = [f"CAST(embedding[{3 * i + k + 1}] AS DOUBLE)" for k in range(3)]
-            sure = f"0.5 + {e[2]} >= 0.3"
+            sure = f"0.5 + {e[2]} >= 0.3" + (f" AND NOT ({HIDDEN[role]})" if covered else "")
             out += [f"CASE WHEN {sure} THEN {x} + {REACH} * {e[0]} END AS {name}_x", f"CASE WHEN {sure} THEN {y} + {REACH} * {e[1]} END AS {name}_y"]
     return f"{role}_points AS (SELECT CAST(label AS BIGINT) AS user_id, vec_id AS frame_id, {', '.join(out)} FROM embeddings)"
 
 
-def metrics(role: str) -> str:
+HIDDEN = {"front": "label % 4 = 3", "side": "label % 3 = 1"}
+
+
+def metrics(role: str, covered: bool = False) -> str:
     """Frames that can be measured, with their metrics."""
     if role == "front":
         span = "sqrt((l_shoulder_x - r_shoulder_x) * (l_shoulder_x - r_shoulder_x) + (l_shoulder_y - r_shoulder_y) * (l_shoulder_y - r_shoulder_y))"
@@ -63,14 +77,14 @@ def metrics(role: str) -> str:
   degrees(atan2((ear_x - sh_x) * (hip_y - sh_y) - (ear_y - sh_y) * (hip_x - sh_x), (ear_x - sh_x) * (hip_x - sh_x) + (ear_y - sh_y) * (hip_y - sh_y))) AS ear_shoulder_hip_angle,
   CASE WHEN {torso} > 1 THEN (nose_x - sh_x) / {torso} END AS head_forward_offset
   FROM (SELECT user_id, frame_id, nose_x, nose_y, {pick.replace(" AS shoulder_", " AS sh_")} FROM side_points) WHERE sh_x IS NOT NULL)"""
-    return f"{points(role)}, {body}"
+    return f"{points(role, covered)}, {body}"
 
 
 def baseline(role: str) -> str:
     """One row per user: means of the metrics of the first measured frame, and deviations."""
     names = METRICS[role]
     own = ", ".join(
-        f"CASE WHEN arg_min({{'v': {n}}}, frame_id).v IS NOT NULL THEN avg({n}) END AS {n}, "
+        f"CASE WHEN arg_min({{'v': {n}}}, frame_id).v IS NOT NULL THEN list_reduce(list({n} ORDER BY frame_id) FILTER ({n} IS NOT NULL), lambda a, b: a + b) / count({n}) END AS {n}, "
         f"CASE WHEN arg_min({{'v': {n}}}, frame_id).v IS NOT NULL AND count({n}) > 1 THEN stddev_pop({n}) END AS {n}_sd"
         for n in names
     )
@@ -162,9 +176,12 @@ def rounded(role: str) -> str:
 
 
 STORED_SETTINGS = """stored AS (SELECT user_id, event_id AS seq, ts,
-  CASE event_id % 4 WHEN 0 THEN 'check_interval_seconds' WHEN 1 THEN 'alert_mode' WHEN 2 THEN 'blur_intensity' ELSE 'notify_on_poor' END AS key,
-  CASE event_id % 4 WHEN 0 THEN CAST(10 + event_id % 290 AS VARCHAR) WHEN 1 THEN CASE event_id % 3 WHEN 0 THEN 'blur' WHEN 1 THEN 'bananas' ELSE 'notification' END
-    WHEN 2 THEN CAST(event_id % 10 AS VARCHAR) ELSE CASE WHEN event_id % 2 = 1 AND event_id % 3 = 0 THEN 'false' ELSE 'true' END END AS value
+  ['check_interval_seconds', 'alert_mode', 'blur_intensity', 'notify_on_poor', 'consecutive_poor_before_alert', 'notify_on_recovery', 'blur_auto_remove', 'front_camera_id',
+   'side_camera_id', 'monitoring_enabled'][event_id % 10 + 1] AS key,
+  CASE event_id % 10 WHEN 0 THEN CAST(10 + event_id % 290 AS VARCHAR) WHEN 1 THEN CASE event_id % 3 WHEN 0 THEN 'blur' WHEN 1 THEN 'bananas' ELSE 'notification' END
+    WHEN 2 THEN CAST(event_id // 10 % 10 AS VARCHAR) WHEN 4 THEN CAST(1 + event_id // 10 % 4 AS VARCHAR)
+    WHEN 7 THEN CASE WHEN event_id // 10 % 4 = 0 THEN '' ELSE 'camera-' || (event_id // 10 % 3) END WHEN 8 THEN CASE WHEN event_id // 10 % 4 = 0 THEN '' ELSE 'camera-' || (event_id // 10 % 3) END
+    ELSE CASE WHEN event_id // 10 % 3 = 0 THEN 'false' ELSE 'true' END END AS value
   FROM events WHERE event_type = 'click')"""
 
 
@@ -181,7 +198,33 @@ def oracle(asof: str, late: str) -> dict[str, str]:
     calibrations = "calibrations AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'front' ELSE 'side' END AS role, ts AS calibrated_at, event_id AS seq, round(value, 6) AS mean FROM events WHERE event_type = 'view' AND value IS NOT NULL)"
     session_checks = """sessions AS (SELECT * FROM (SELECT *, sum(stop) OVER (PARTITION BY user_id ORDER BY ts, stop DESC, seq ROWS UNBOUNDED PRECEDING) AS session_id FROM (
   SELECT user_id, seq, ts, score, status, 0 AS stop FROM checks UNION ALL SELECT user_id, event_id, ts, NULL, NULL, 1 FROM events WHERE event_type = 'signup')) WHERE stop = 0)"""
-    by_session = STREAKS.format(on="", keys="user_id, session_id").replace("FROM checks  WINDOW", "FROM sessions WINDOW").replace(", t0 AS (", f", {session_checks}, t0 AS (", 1)
+    def in_sessions(kind: dict[str, str]) -> str:
+        return STREAKS.format(keys="user_id, session_id", **kind | {"source": "sessions"}).replace(", t0 AS (", f", {session_checks}, t0 AS (", 1)
+
+    by_session, own = in_sessions(PLAIN), f"{settings()}, {JUDGED}, {STREAKS.format(keys='user_id', **OWN)}"
+    turn = "CASE WHEN alert AND mode IN ('blur', 'bananas'){} THEN true WHEN status <> 'poor' AND auto_remove THEN false END"
+    covered = ", ".join(x for r in ("front", "side") for x in (metrics(r, True), baseline(r)))
+    any_role = "calibrated AS (SELECT user_id FROM front_b UNION SELECT user_id FROM side_b)"
+    camera = "coalesce(front_camera_id, '') <> '' OR coalesce(side_camera_id, '') <> ''"
+
+    def texts(values: tuple[str, ...]) -> str:
+        return f"[{', '.join(repr(v) for v in values)}][seq % {len(values)} + 1]"
+
+    period = f"greatest(check_interval_seconds::INTEGER, {MIN_PERIOD})"
+    schedule = f"""l AS (SELECT user_id, max(ts) AS last FROM checks GROUP BY user_id),
+  c AS (SELECT user_id, max(ts) FILTER (kind = 'fixed') AS fixed, max(ts) FILTER (kind = 'snooze') AS snoozed FROM controls GROUP BY user_id),
+  m AS (SELECT user_id, max(ts) AS manual FROM events WHERE event_type = 'view' AND value < 30 GROUP BY user_id),
+  s0 AS (SELECT user_id, {period} AS period_seconds, CASE WHEN coalesce(snoozed >= last, snoozed IS NOT NULL) THEN snoozed + to_seconds({SNOOZE}) ELSE last + to_seconds({period}) END AS regular_at,
+    CASE WHEN coalesce(fixed >= last, fixed IS NOT NULL) THEN fixed + to_seconds(10) END AS re, CASE WHEN coalesce(manual >= last, manual IS NOT NULL) THEN manual END AS now_
+    FROM settings LEFT JOIN l USING (user_id) LEFT JOIN c USING (user_id) LEFT JOIN m USING (user_id))"""
+    # overlays and starts in sessions: the last mark of a session's checks and controls
+    stream = f"""{settings()}, {JUDGED}, {in_sessions(OWN)}, {CONTROLS},
+marks AS (SELECT user_id, seq, ts, 1 AS chk, {turn.format("")} AS turn, NULL AS began FROM streaks UNION ALL
+  SELECT user_id, seq, ts, 0, CASE WHEN kind IN {OFF} THEN false END, CASE kind WHEN 'start' THEN {{'at': ts}} WHEN 'stop' THEN {{'at': NULL::TIMESTAMP}} END FROM controls),
+shown AS (SELECT *, last_value(CASE WHEN turn IS NOT NULL THEN {{'on': turn, 'seq': seq}} END IGNORE NULLS) OVER w AS o, last_value(began IGNORE NULLS) OVER w AS b FROM marks
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, chk, seq ROWS UNBOUNDED PRECEDING))
+SELECT {STREAK_COLUMNS}, b.at AS started_at, score AS last_score, ts AS last_check_at, coalesce(o.on, false) AS overlay_active, CASE WHEN o.on THEN o.seq END AS overlay_seq
+FROM streaks JOIN (SELECT user_id, seq, o, b FROM shown WHERE chk = 1) USING (user_id, seq)"""
     front, side, both = pipeline("front"), pipeline("side"), pipeline("front", "side")
     frames = "SELECT CAST(label AS BIGINT) AS user_id, vec_id AS frame_id"
     out = {
@@ -193,9 +236,9 @@ def oracle(asof: str, late: str) -> dict[str, str]:
         "baseline": f"WITH {both} SELECT user_id, role, metric, mean FROM ({long_baseline('front')} UNION ALL {long_baseline('side')})",
         "baseline_stddev": f"WITH {both} SELECT user_id, role, metric, stddev FROM ({long_baseline('front')} UNION ALL {long_baseline('side')})",
         "calibration_latest": f"WITH {calibrations} SELECT user_id, role, calibrated_at, mean, 1 AS version FROM calibrations QUALIFY row_number() OVER (PARTITION BY user_id, role ORDER BY calibrated_at DESC, seq DESC) = 1",
-        "calibration_failures": f"WITH {both} SELECT DISTINCT user_id, 'front' AS role FROM front_cal WHERE user_id NOT IN (SELECT user_id FROM front_b) UNION ALL SELECT DISTINCT user_id, 'side' FROM side_cal WHERE user_id NOT IN (SELECT user_id FROM side_b)",
-        "eligible_users": f"WITH {front} SELECT user_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id IN (SELECT user_id FROM front_b)",
-        "uncalibrated_users": f"WITH {front} SELECT user_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT user_id FROM front_b)",
+        "calibration_failures": f"WITH {covered} SELECT DISTINCT user_id, 'front' AS role FROM front_cal WHERE user_id NOT IN (SELECT user_id FROM front_b) UNION ALL SELECT DISTINCT user_id, 'side' FROM side_cal WHERE user_id NOT IN (SELECT user_id FROM side_b)",
+        "eligible_users": f"WITH {settings()}, {covered}, {any_role} SELECT user_id FROM settings WHERE user_id IN (SELECT user_id FROM calibrated) AND ({camera})",
+        "uncalibrated_users": f"WITH {covered}, {any_role} SELECT user_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT user_id FROM calibrated)",
         "front_scores": f"WITH {front}, {result(['front'])} SELECT user_id, frame_id, score, status FROM scored",
         "side_scores": f"WITH {side}, {result(['side'])} SELECT user_id, frame_id, score, status FROM scored",
         "front_side_combined": f"WITH {both} SELECT user_id, frame_id, CAST(({' + '.join(f'({n}_score IS NOT NULL)::INTEGER' for n, *_ in parts('front'))}) AS INTEGER) AS front_parts, CAST(({' + '.join(f'({n}_score IS NOT NULL)::INTEGER' for n, *_ in parts('side'))}) AS INTEGER) AS side_parts FROM front_s FULL JOIN side_s USING (user_id, frame_id)",
@@ -205,18 +248,18 @@ def oracle(asof: str, late: str) -> dict[str, str]:
         "checks": f"WITH {CHECKS} SELECT * FROM checks",
         "status_distribution": f"WITH {CHECKS} SELECT status, count(*) AS n, round(avg(score), 6) AS mean_score FROM checks GROUP BY status",
         "streaks": f"WITH {BY_USER} SELECT {STREAK_COLUMNS} FROM streaks",
-        "stream_session": f"WITH {BY_USER} SELECT {STREAK_COLUMNS} FROM streaks",
+        "stream_session": f"WITH {stream}",
         "streaks_by_session": f"WITH {by_session} SELECT session_id, {STREAK_COLUMNS} FROM streaks",
-        "alerts": f"WITH {settings()}, {BY_USER} SELECT user_id, seq, ts, 'alert' AS kind, alert_mode AS mode, score, 'Posture score ' || score || '/100' AS title FROM streaks JOIN settings USING (user_id) WHERE alert AND notify_on_poor = 'true'",
-        "latest_alert": f"WITH {BY_USER} SELECT user_id, seq, ts, score FROM streaks WHERE alert QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) = 1",
-        "recoveries": f"WITH {BY_USER} SELECT user_id, seq, ts, 'praise' AS kind, score FROM streaks WHERE recovery",
-        "overlay_state": f"WITH {BY_USER} SELECT user_id, seq, ts, coalesce(last_value(CASE WHEN alert THEN true WHEN status <> 'poor' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), false) AS overlay_active FROM streaks",
-        "overlay_with_controls": f"WITH {BY_USER}, turns AS (SELECT user_id, seq, ts, CASE WHEN alert THEN true WHEN status <> 'poor' THEN false END AS turn, 1 AS chk FROM streaks UNION ALL SELECT user_id, event_id, ts, false, 0 FROM events WHERE event_type IN ('signup', 'purchase')) SELECT user_id, seq, ts, overlay_active FROM (SELECT *, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, chk, seq ROWS UNBOUNDED PRECEDING), false) AS overlay_active FROM turns) WHERE chk = 1",
-        "side_source": f"{frames}, CASE WHEN vec_id % 3 <> 0 THEN 'local' ELSE 'phone' END AS source, round(360 + 120.0 * embedding[1]::DOUBLE, 6) AS nose_x FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0",
-        "check_schedule": f"WITH {settings()}, {CHECKS}, l AS (SELECT user_id, max(ts) AS last FROM checks GROUP BY user_id), f AS (SELECT user_id, max(ts) AS fixed FROM events WHERE event_type = 'signup' GROUP BY user_id) SELECT user_id, greatest(check_interval_seconds::INTEGER, {MIN_PERIOD}) AS period_seconds, least(last + to_seconds(greatest(check_interval_seconds::INTEGER, {MIN_PERIOD})), CASE WHEN coalesce(fixed >= last, fixed IS NOT NULL) THEN fixed + to_seconds(10) END) AS due_at FROM settings LEFT JOIN l USING (user_id) LEFT JOIN f USING (user_id)",
+        "alerts": f"WITH {own} SELECT user_id, seq, ts, 'alert' AS kind, mode, score, CASE mode WHEN 'bananas' THEN '{WILD_TITLE}' ELSE 'Posture score ' || score || '/100' END AS title, CASE mode WHEN 'bananas' THEN 'Score: ' || score || '/100. {WILD_MESSAGE}' ELSE {texts(POOR_MESSAGES)} END AS message FROM streaks WHERE alert",
+        "latest_alert": f"WITH {own} SELECT user_id, seq, ts, score FROM streaks WHERE alert QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) = 1",
+        "recoveries": f"WITH {own} SELECT user_id, seq, ts, 'praise' AS kind, score, {texts(GOOD_MESSAGES)} AS message FROM streaks WHERE recovery",
+        "overlay_state": f"WITH {own} SELECT user_id, seq, ts, coalesce(last_value({turn.format(' AND seq % 7 <> 0')} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), false) AS overlay_active FROM streaks",
+        "overlay_with_controls": f"WITH {own}, {CONTROLS}, turns AS (SELECT user_id, seq, ts, {turn.format('')} AS turn, 1 AS chk FROM streaks UNION ALL SELECT user_id, seq, ts, false, 0 FROM controls WHERE kind IN {OFF}) SELECT user_id, seq, ts, overlay_active FROM (SELECT *, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, chk, seq ROWS UNBOUNDED PRECEDING), false) AS overlay_active FROM turns) WHERE chk = 1",
+        "side_source": f"{frames}, CASE WHEN vec_id % 3 <> 0 THEN 'local' WHEN vec_id % 2 = 0 THEN 'phone' END AS source, CASE WHEN vec_id % 3 <> 0 OR vec_id % 2 = 0 THEN round(360 + 120.0 * embedding[1]::DOUBLE, 6) END AS nose_x FROM embeddings",
+        "check_schedule": f"WITH {settings()}, {CHECKS}, {CONTROLS}, {schedule} SELECT user_id, period_seconds, regular_at, least(regular_at, re, now_) AS due_at, CASE least(regular_at, re, now_) WHEN now_ THEN 'manual' WHEN re THEN 'recheck' WHEN regular_at THEN 'regular' END AS trigger FROM s0",
         "camera_labels": "SELECT 'device-' || s_suppkey AS device_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Camera ' || substr('device-' || s_suppkey, 1, 8) ELSE s_name END AS label FROM supplier WHERE s_suppkey % 5 <> 0",
         "delivery_targets": "WITH p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'about:blank' ELSE url END AS url, CAST(floor(page_id / 10) AS BIGINT) AS screen FROM pages), g AS (SELECT screen, arg_min(url, page_id) AS f, arg_min(url, page_id) FILTER (regexp_matches(url, '^https?://')) AS w FROM p GROUP BY screen) SELECT screen, CASE WHEN NOT regexp_matches(f, '^(chrome|chrome-extension|edge|about|devtools):') THEN f ELSE w END AS url FROM g",
-        "next_check": f"WITH {settings()}, {CHECKS}, {latest} SELECT user_id, greatest(0, CAST(round((epoch_us(last_check_at) + greatest(check_interval_seconds::INTEGER, {MIN_PERIOD}) * 1000000 - epoch_us(TIMESTAMP '{asof} 00:00:00')) / 1e6) AS INTEGER)) AS seconds FROM settings LEFT JOIN latest USING (user_id)",
+        "next_check": f"WITH {settings()}, {CHECKS}, {CONTROLS}, {schedule} SELECT user_id, CASE WHEN monitoring_enabled = 'true' AND regular_at IS NOT NULL THEN greatest(0, CAST(round((epoch_us(regular_at) - epoch_us(TIMESTAMP '{asof} 00:00:00')) / 1e6) AS INTEGER)) END AS seconds FROM settings JOIN s0 USING (user_id)",
         "score_ring": f"WITH {CHECKS} SELECT user_id, seq, CASE status WHEN 'good' THEN 'Good' WHEN 'fair' THEN 'Fair' ELSE 'Poor' END AS label, {colour} AS colour, round(2 * pi() * 52 - score / 100 * (2 * pi() * 52), 6) AS dash_offset FROM checks",
         "current_streak": f"WITH {BY_USER} SELECT user_id, streak_type, streak_started_at, minutes, CASE WHEN minutes < 60 THEN minutes || 'm' ELSE (minutes // 60) || 'h' || (minutes % 60) || 'm' END AS shown FROM (SELECT user_id, status AS streak_type, streak_started_at, CAST(round((epoch_us(TIMESTAMP '{asof} 00:00:00') - epoch_us(streak_started_at)) / 60e6) AS BIGINT) AS minutes FROM streaks QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) = 1)",
         "latest_status": f"WITH {CHECKS}, {latest} SELECT * FROM latest",
@@ -231,7 +274,12 @@ def oracle(asof: str, late: str) -> dict[str, str]:
         "today_stats": f"WITH {DAILY} SELECT user_id, day, total_checks, CAST(round(good_checks / total_checks * 100) AS INTEGER) AS good_percent, average_score FROM days WHERE day = DATE '{asof}'",
         "seven_day_chart": f"WITH {DAILY}, spine AS (SELECT user_id, CAST(d AS DATE) AS day FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(generate_series(DATE '{asof}' - 6, DATE '{asof}', INTERVAL 1 DAY)) AS d)) SELECT user_id, day, strftime(day, '%m-%d') AS label, average_score, CASE WHEN average_score >= 75 THEN 'good' WHEN average_score >= 40 THEN 'fair' WHEN average_score IS NOT NULL THEN 'poor' END AS band FROM spine LEFT JOIN days USING (user_id, day)",
         "settings_effective": f"WITH {settings()} SELECT * FROM settings",
-        "status_snapshot": f"WITH {settings()}, {CHECKS}, {latest}, {front} SELECT user_id, alert_mode, greatest(check_interval_seconds::INTEGER, {MIN_PERIOD}) AS period_seconds, last_score, status, user_id IN (SELECT user_id FROM front_b) AS is_calibrated, last_check_at + to_seconds(greatest(check_interval_seconds::INTEGER, {MIN_PERIOD})) AS next_check_at FROM settings LEFT JOIN latest USING (user_id)",
+        "settings_map": f"WITH {settings()} SELECT user_id, key, value FROM settings UNPIVOT (value FOR key IN ({', '.join(DEFAULTS)}))",
+        "settings_merged": f"WITH {settings()} SELECT user_id, key, value FROM settings UNPIVOT (value FOR key IN ({', '.join(DEFAULTS)}))",
+        "status_snapshot": f"WITH {settings()}, {CHECKS}, {latest}, {CONTROLS}, {schedule}, {covered}, {any_role} SELECT user_id, alert_mode, period_seconds, last_score, status, user_id IN (SELECT user_id FROM calibrated) AS is_calibrated, monitoring_enabled = 'true' AS is_scheduled, CASE WHEN monitoring_enabled = 'true' THEN regular_at END AS next_check_at FROM settings LEFT JOIN latest USING (user_id) JOIN s0 USING (user_id)",
+        "result_log": f"WITH {both}, {result(['front', 'side'])} SELECT user_id, frame_id, '{{\"score\":null,\"status\":\"' || status || '\"}}' AS line FROM scored WHERE score IS NULL",
+        "pairing_links": f"SELECT 'peer ' || s_suppkey AS peer_id, '{PAIR_PAGE}/#peer=peer ' || s_suppkey AS link, '{PAIR_CODE}' || url_encode('{PAIR_PAGE}/#peer=peer ' || s_suppkey) AS code_url FROM supplier",
+        "stream_hourly": f"WITH {CHECKS} SELECT user_id, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INTEGER) AS hour, CAST(sum(score) AS BIGINT) AS score_sum, count(*) AS n FROM checks GROUP BY ALL",
     }
     return out
 

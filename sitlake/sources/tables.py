@@ -45,10 +45,18 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_checks(events(spark, sf_dir))
 
 
+def control_kind() -> Column:
+    """The control that an event stands for: a signup stops monitoring, a click starts it, a purchase snoozes, an error dismisses or is fixed."""
+    kind = F.col("event_type")
+    return (
+        F.when(kind == "signup", "stop").when(kind == "click", "start").when(kind == "purchase", "snooze")
+        .when((kind == "error") & (F.col("event_id") % 2 == 0), "dismiss").when(kind == "error", "fixed")
+    )
+
+
 def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Control events: a signup stops monitoring, a purchase snoozes."""
-    kind = F.when(F.col("event_type") == "signup", "stop").when(F.col("event_type") == "purchase", "snooze")
-    return events(spark, sf_dir).select("user_id", F.col("event_id").alias("seq"), "ts", kind.alias("kind")).filter("kind IS NOT NULL")
+    """Control events (user_id, seq, ts, kind)."""
+    return events(spark, sf_dir).select("user_id", F.col("event_id").alias("seq"), "ts", control_kind().alias("kind")).filter("kind IS NOT NULL")
 
 
 def _point(role: str, name: str) -> Column:
@@ -71,10 +79,23 @@ def frames(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     )
 
 
+def paired_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both roles' keypoints of each check, from one scan: (user_id, frame_id, front, side)."""
+    both = {role: F.array(*[_point(role, n) for n in LANDMARKS]) for role in TEMPLATE}
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("user_id"), F.col("vec_id").alias("frame_id"), *[k.alias(role) for role, k in both.items()])
+
+
+def covered_frames(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+    """Frames as frames() gives them, but some users' cameras are covered: no landmark of theirs is sure."""
+    hidden = F.col("user_id") % 4 == 3 if role == "front" else F.col("user_id") % 3 == 1
+    dark = F.transform("keypoints", lambda k: F.when(k.isNotNull(), k.withField("score", F.when(hidden, F.lit(0.0)).otherwise(k["score"]))))
+    return frames(spark, sf_dir, role).withColumn("keypoints", dark)
+
+
 def side_source(local: DataFrame, phone: DataFrame) -> DataFrame:
-    """Side frames: the local camera's, else the phone's of the same check."""
+    """Side frames: the local camera's, else the phone's of the same check, else none; null keypoints are no frame."""
     keys = ["user_id", "frame_id"]
     a = local.select(*keys, F.col("keypoints").alias("_local"))
     b = phone.select(*keys, F.col("keypoints").alias("_phone"))
-    used = F.when(F.col("_local").isNotNull(), "local").otherwise("phone")
+    used = F.when(F.col("_local").isNotNull(), "local").when(F.col("_phone").isNotNull(), "phone")
     return a.join(b, keys, "full").select(*keys, used.alias("source"), F.coalesce("_local", "_phone").alias("keypoints"))
