@@ -1,15 +1,18 @@
-"""What several operators share: scratch tables, size-checked joins, ordered sums."""
+"""What several operators share: words, size-checked joins, names of columns, and what workers need."""
 
 from __future__ import annotations
 
 import atexit
 import os
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import BROADCAST_ROWS, checked_broadcast, release, scratch_dir, scratch_paths, stored
+
+__all__ = ["BROADCAST_ROWS", "checked_broadcast", "release", "scratch_dir", "scratch_paths", "stored"]
+
 #: White space of the contracts: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -21,15 +24,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-#: Rows of a checked side that may be broadcast, and bytes of it.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
-
 #: Rows of an Arrow batch.
 BATCH_ROWS = 512
 _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-_scratch: list[tuple[SparkSession, str]] = []
-
 
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; null is empty."""
@@ -41,68 +39,12 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(WORD_BYTES).split()
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)  # a path without a scheme is the default file system's
-    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    return re.sub("^file:/+", "file:///", full)
-
-
-def scratch_dir(spark: SparkSession, what: str) -> str:
-    """A new folder in the shared folder; release() or the session's end removes it."""
-    path = f"{scratch_root(spark).rstrip('/')}/sitlake-{what}-{uuid.uuid4().hex[:12]}"
-    _scratch.append((spark, path))
-    return path
-
-
-def scratch_paths() -> set[str]:
-    """Scratch folders that are there now."""
-    return {path for _, path in _scratch}
-
-
-def release(paths: set[str] | None = None) -> None:
-    """Remove scratch folders, by default all, once no lazy result needs them."""
-    for owner, path in list(_scratch):
-        if paths is None or path in paths:
-            _scratch.remove((owner, path))
-            jvm = owner.sparkContext._jvm
-            if jvm is None or owner.sparkContext._jsc.sc().isStopped():
-                continue
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(owner.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _at_end() -> None:
-    try:
-        release()
-    except Exception:  # the JVM may have gone first; the folder is then the cluster's to clean
-        pass
-
-
-atexit.register(_at_end)
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_small(left: DataFrame, small: DataFrame, on: Column | str | list[str], how: str = "left", row_bytes: int = 64) -> DataFrame:
     """Join with a stored table: broadcast if its counted rows are within the bound, else by shuffle.
 
     Beyond the bound AQE splits skewed partitions of the left side, so a hot key is no single task.
     """
-    few = small.limit(BROADCAST_ROWS + 1).count()
-    if few <= BROADCAST_ROWS and few * row_bytes <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return left.join(small, on, how)
+    return left.join(checked_broadcast(small, row_bytes), on, how)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -7,6 +7,7 @@ pattern is tried.  Lower priority numbers win where detections overlap.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -33,7 +34,7 @@ _TEXTS = [
     ("isc", "modify and distribute this software", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
     ("0bsd", "zero clause bsd", r"(?:bsd )?zero clause bsd(?: licen[sc]e)?|zero clause bsd"),
     ("bsd-2-clause", "redistributions in binary form", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer (?:2 )?redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-3-clause", "endorse or promote products", r"neither the name of [a-z0-9 ]{1,120}? (?:nor the names of its contributors )?may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", "endorse or promote products", r"neither the name of (?:[^ ]+ ){1,40}?(?:nor the names of its contributors )?may be used to endorse or promote products derived from this software"),
     ("bsd-4-clause", "advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("apache-2.0", "apache license version 2 0", r"licensed under the apache license version 2 0(?: the license)?"),
     ("apache-2.0", "you may not use this file except", r"you may not use this file except in compliance with the license"),
@@ -61,7 +62,7 @@ _TEXTS = [
     ("public-domain", "dedicated to the public domain", r"(?:has been |is )?(?:hereby )?dedicated to the public domain"),
     ("public-domain", "placed in the public domain", r"(?:has been |is )?(?:hereby )?placed in the public domain"),
     ("ofl-1.1", "sil open font license", r"(?:this font software is licensed under the )?sil open font license(?: version 1 1)?"),
-    ("proprietary", "all rights reserved", r"(?:confidential and proprietary )?all rights reserved"),
+    ("proprietary", "confidential and proprietary all rights", r"confidential and proprietary all rights reserved"),
     ("proprietary", "unauthorized copying", r"unauthorized copying of this file via any medium is strictly prohibited"),
     ("proprietary", "proprietary and confidential", r"(?:this (?:software|document) is )?proprietary and confidential"),
     ("gfdl", "free documentation license", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
@@ -69,7 +70,7 @@ _TEXTS = [
     ("epl", "this program and the accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("openssl", "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
     ("json", "used for good not evil", r"the software shall be used for good not evil"),
-    ("beerware", "buy me a beer", r"(?:you can|if we meet some day and you think this stuff is worth it you can) buy me a beer"),
+    ("beerware", "buy me a beer", r"(?:if we meet some day and you think this stuff is worth it you can|you think this (?:stuff|software|code) is worth it you can) buy me a beer"),
 ]
 
 # Short ids as they read in words, with the keyword that gates them.
@@ -134,9 +135,22 @@ _LINKS = [
 
 # Notices that name no licence by themselves.
 _HINTS = [
+    ("rights", "rights reserved", r"(?:all|some|no) rights reserved"), ("beer", "buy me a beer", r"(?:you can )?buy me a beer"),
     ("notice", "licensed under", r"licensed under the terms of"), ("notice", "see the licen", r"see the licen[sc]e (?:file )?for"), ("notice", "the licen", r"(?:found in|see) the licen[sc]e file"), ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"), ("spdx", "spdx", r"spdx licen[sc]e identifier"),
 ]
 
+#: Short ids that are a name and a version alone.
+_PLAIN = re.compile(r"([a-z0-9 ]*[a-z][a-z0-9]*) ([0-9]+(?: [0-9]+)*)")
+
+
+def _versioned(keyword: str, pattern: str) -> str:
+    """An id with the ways in which texts join name and version: "name licence version 1.0", "name v1.0"."""
+    plain = _PLAIN.fullmatch(pattern)
+    return rf"{plain[1]} (?:licen[sc]e )?(?:v ?|version )?{plain[2]}" if plain and keyword in plain[1] else pattern
+
+
+_IDS = [(label, keyword, _versioned(keyword, pattern)) for label, keyword, pattern in _IDS]
+
 RULES: tuple[Rule, ...] = tuple(
     Rule(label, keyword, pattern, priority, score)
     for rows, priority, score in ((_TEXTS, TEXT, 1.0), (_IDS, EXACT, 0.95), (_LINKS, EXACT, 0.9), (_NAMES, NAME, 0.8), (_HINTS, HINT, 0.3))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, words_of
+from .common import few_rows, others, ship, whole_row, words_of
 from .license_rules import HINT, PHRASES, RULES, Rule
 
 
@@ -91,12 +91,12 @@ _TYPES = "n_words long, n_base long, first_word long, last_word long, base_label
 _DETECTION = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64())]))
 
 
-def _scanned(names: list[str]):
+def _scanned():
     def run(batches):
         scan = _matcher().scan
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
-            for text in batch.column(len(names)):
+            for text in batch.column(1):
                 words = words_of(text.as_py())
                 base, found = scan(words)
                 own = {label for _, label in base}
@@ -105,7 +105,7 @@ def _scanned(names: list[str]):
                 rows.append((len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(own)), ",".join(sorted(own | named)), score, [{"start": d.start, "end": d.end, "label": d.label, "score": d.score} for d in found]))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), _DETECTION]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], *columns], names=[*names, *RESULTS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_row", *RESULTS])
 
     return run
 
@@ -114,12 +114,14 @@ def license_scan(docs: DataFrame, text: str = "text", columns: list[str] | None
     """docs (or the named columns) with n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
     Base phrases are counted at all their places and never suppressed; labels adds those of the detections
-    that stand, hints left out; score is that of the surest detection, 0 for none.  Null text has no words;
-    equal rows get equal results; an empty table gives an empty one.  Other columns stay, those named like
-    results are replaced.  One narrow pass: nothing is shuffled, and no row waits for another.
+    that stand, hints left out; score is that of the surest detection, 0 for none.  Null and empty texts have
+    no words; a text of any length is scanned whole.  Of detections that tie in place and priority the first
+    rule's stands; equal rows get equal results; an empty table gives an empty one.  Other columns stay whatever
+    their names, those named like results (in any case) are replaced.  One narrow pass: nothing is shuffled,
+    and no row waits for another.
     """
     ship(docs.sparkSession)
-    keep = [c for c in (docs.columns if columns is None else columns) if c not in RESULTS]
-    rows = docs.select(*keep, F.col(text).alias("_text_"))
-    schema = T.StructType([*rows.schema.fields[: len(keep)], *T._parse_datatype_string(_TYPES).fields])
-    return rows.mapInArrow(_scanned(keep), schema)
+    keep = others(docs if columns is None else columns, RESULTS)
+    rows = docs.select(whole_row(keep), F.col(text).alias("text"))
+    schema = T.StructType([rows.schema["_row"], *T._parse_datatype_string(_TYPES).fields])
+    return rows.mapInArrow(_scanned(), schema).select("_row.*", *RESULTS)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, with_small
+from .common import others, range_count, stored, whole_row, with_small
 
 
 @dataclass(frozen=True)
@@ -31,26 +31,40 @@ class MixRules:
     seed: str = "mix-1"
 
 
+def in_order(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with the sums of the rows before each in an order, and its place (_nth, from 0).
+
+    Rows are dealt out by ranges of the order, so no task holds them all; each range starts from the sums of
+    the ranges before it, one row a range.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    dealt = stored(rows.repartitionByRange(range_count(spark, n, 65_536), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = sums | {"_nth": F.lit(1)}
+    parts = dealt.groupBy(F.col("_part").alias("_of")).agg(*[F.sum(c).alias(f"{name}_own") for name, c in sums.items()])
+    ahead = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    parts = parts.select("_of", *[F.coalesce(F.sum(f"{name}_own").over(ahead), F.lit(0)).alias(f"{name}_ahead") for name in sums])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = [(F.col(f"{name}_ahead") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(name) for name, c in sums.items()]
+    return dealt.join(F.broadcast(parts), F.col("_part") == F.col("_of")).select(*rows.columns, *own)
+
+
 def source_targets(sizes: DataFrame, source: str, rules: MixRules) -> DataFrame:
     """Rows (source, size, n, weight, target) from a table of sources' sizes.
 
-    Targets are lambda * weight, at most ``most`` times the size.  lambda rises from round to round as
-    sources reach their bound; each round is one aggregate over the sources, and only its row is read.
+    Targets are lambda * weight, at most ``most`` times the size.  In order of bound over weight the sources
+    that reach their bound come first, so lambda is what the first that does not would give: one aggregate
+    over the sources, whatever their number.
     """
-    order = Window.orderBy(F.col(source).asc_nulls_last())
-    nth = F.pmod(F.row_number().over(order) - 1, F.lit(len(rules.weights))) + 1
-    rows = stored(sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in rules.weights]), nth.cast("int"))), "sources")
-    bound = F.col("size") * float(rules.most)
-    total = rows.agg(F.sum("size").alias("size")).first()["size"] or 0
-    want = rules.share * float(total)
-    scale, capped = 0.0, -1
-    while True:
-        full = F.col("weight") * scale >= bound if capped >= 0 else F.lit(False)
-        row = rows.agg(F.coalesce(F.sum(F.when(full, bound)), F.lit(0.0)).alias("held"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)).alias("free"), F.count(F.when(full, 1)).alias("capped")).first()
-        if row["capped"] == capped or row["free"] == 0:
-            break
-        scale, capped = (want - row["held"]) / row["free"], row["capped"]
-    return rows.withColumn("target", F.least(F.col("weight") * scale, bound))
+    size, bound = F.col("size"), F.col("size") * float(rules.most)
+    numbered = in_order(sizes, [F.col(source).asc_nulls_last()], {})
+    weight = F.element_at(F.array(*[F.lit(w) for w in rules.weights]), (F.pmod(F.col("_nth"), F.lit(len(rules.weights))) + 1).cast("int"))
+    rows = stored(numbered.withColumn("weight", weight).drop("_nth"), "sources")
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
+    ranked = in_order(rows, [bound / F.col("weight"), F.col(source).asc_nulls_last()], {"held": bound, "used": F.col("weight")})
+    scale = (rules.share * float(total["size"]) - F.col("held")) / (float(total["weight"]) - F.col("used"))
+    ranked = ranked.withColumn("scale", scale).filter(F.col("weight") * F.col("scale") < bound)
+    first = ranked.agg(F.min_by("scale", "_nth").alias("scale")).first()["scale"] or 0.0
+    return rows.withColumn("target", F.least(F.col("weight") * first, bound))
 
 
 def uniform(*parts: Column, seed: str) -> Column:
@@ -65,13 +79,18 @@ def mix(sized: DataFrame, doc_id: str = "doc_id", source: str = "source", size:
     sized holds a document's id, source and size; other columns stay.  copies is how often the mix
     takes the document; taken is copies times size.  Null sources are one source, the last.  Null or
     repeated ids: such rows with equal sizes tie in the order and either may be taken, so their multiset
-    is the same in each run.  Size 0 is taken for nothing.  An empty table gives an empty one.
+    is the same in each run.  Size 0 (empty texts) is taken for nothing; a size of any length may be taken if
+    it fits.  An empty table gives an empty one.  Other columns keep their values whatever their names; those
+    named like results (in any case) are replaced.
+
+    The extra copies follow Pareto order; what the first document that does not fit leaves open, less than its
+    length in words, is filled in order by shorter ones, so these are a little likelier than their odds.
     """
     new = ("source_size", "target", "copies", "taken")
-    keep = [c for c in sized.columns if c not in new]
+    keep = others(sized, new)
     rows = stored(
         sized.select(
-            F.struct(*keep).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col(size).cast("long").alias("_size"),
+            whole_row(keep), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.col(size).cast("long").alias("_size"),
             F.monotonically_increasing_id().alias("_no"),
         ), "sized",
     )

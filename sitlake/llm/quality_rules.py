@@ -35,10 +35,11 @@ def repeat_words(words: Column, n: int) -> Column:
     sort of (hash, position) pairs.  O(n log n) in a document's words.
     """
     count = F.size(words) - (n - 1)
-    hashes = F.when(
-        count > 1,
-        F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(n)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def windows(each: Column) -> Column:  # each word is hashed once, each window from its words' hashes
+        return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(*[F.get(each, i + (k - 1)) for k in range(n)]))
+
+    hashes = F.when(count > 1, _let(F.transform(words, lambda w: F.xxhash64(w)), windows)).otherwise(F.array().cast("array<bigint>"))
 
     def of_pairs(hs: Column) -> Column:
         pairs = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -108,9 +109,10 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", lim
     """docs (or just the named columns of it) with a struct column ``quality`` and a boolean ``kept``.
 
     A document is kept if it passes the base rules (words, repeated windows), the symbol and
-    repeated-line rules, and its host is not rejected.  Null text: no words, so it fails.  Null host:
-    a host of its own.  Equal rows get equal verdicts; no row is dropped; an empty table stays empty.
-    Columns of docs keep their values; those named quality or kept are replaced.
+    repeated-line rules, and its host is not rejected.  Null and empty texts: no words, so they fail.  A text
+    of any length is measured whole.  Null host: a host of its own.  A rate at the bound is kept.  Equal rows
+    get equal verdicts; no row is dropped; an empty table stays empty.  Columns of docs keep their values
+    whatever their names; those named quality or kept (in any case) are replaced.
     """
     spare = free_name(docs, "_q")
     m = F.col(spare)

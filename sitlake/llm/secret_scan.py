@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import others, stored, whole_row
 from .quality_rules import _let
 
 # The base patterns, and the least length of what counts.
@@ -77,6 +77,11 @@ def spans(text: Column, pattern: str, kind: int, rules: ScopeRules, keep=None) -
     return _let(found, lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(none)).cast(SPAN)
 
 
+def gated(gate: Column, found: Column) -> Column:
+    """Spans of texts that pass the gate; none of others."""
+    return F.when(gate, found).otherwise(F.array().cast(SPAN))
+
+
 def neighbours(parts: DataFrame, key: str, classes: dict[str, Column]) -> DataFrame:
     """parts with, for each class, the nearest end before (_lo), nearest start after (_hi) and overlapping parts, itself too (_n).
 
@@ -131,36 +136,38 @@ def secret_scan(docs: DataFrame, text: str = "text", rules: ScopeRules = ScopeRu
     """docs (or the named columns) with ``base`` and ``findings``: array<struct<s,k,e>> sorted by start and kind.
 
     k is the number of the kind in KINDS.  base holds the base findings; findings holds those and the
-    linked weak parts.  A null text is empty; an empty one has none.  Equal rows get equal findings,
-    every row stays, and an empty table gives an empty one.
+    linked weak parts.  A null text is empty; an empty one has none; a text of any length is scanned whole.
+    Parts of one place tie by kind and are all reported.  Texts that are equal are linked once; equal rows get
+    equal findings, every row stays, and an empty table gives an empty one.  Other columns stay whatever their
+    names; those named base or findings (in any case) are replaced.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("text"), F.lit(""))
+    pairs = t.contains(":") | t.contains("=")  # cheap gates: strings that every match holds
     found = {
-        0: spans(t, ASSIGN, 0, rules, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_VALUE),
-        1: spans(t, ACCESS, 1, rules),
+        0: gated(pairs, spans(t, ASSIGN, 0, rules, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_VALUE)),
+        1: gated(t.contains("AKIA"), spans(t, ACCESS, 1, rules)),
         2: spans(t, HEX, 2, rules),
-        3: spans(t, IDENT, 3, rules),
-        5: spans(t, ENDPOINT, 5, rules),
+        3: gated(pairs, spans(t, IDENT, 3, rules)),
+        5: gated(t.contains("://"), spans(t, ENDPOINT, 5, rules)),
     }
-    spare = {k: free_name(docs, f"_span{k}") for k in range(len(KINDS))}
-    key, extra = free_name(docs, "_key"), free_name(docs, "_linked")
-    keep = list(docs.columns) if columns is None else columns
-    keep = [c for c in keep if c not in ("base", "findings")]
-    out = docs
+    spare = {k: f"_span{k}" for k in range(len(KINDS))}
+    key, extra = "_key", "_linked"
+    keep = others(docs if columns is None else columns, ("base", "findings"))
+    out = docs.select(whole_row(keep), F.col(text).alias("text"))
     for k, c in found.items():
         out = out.withColumn(spare[k], c)
     some = (F.size(spare[1]) > 0) | (F.size(spare[3]) > 0)
     out = out.withColumn(spare[4], F.when(some, spans(t, OPAQUE, 4, rules, lambda m: m.rlike(OPAQUE_HOLDS[0]) & m.rlike(OPAQUE_HOLDS[1]) & m.rlike(OPAQUE_HOLDS[2]))).otherwise(F.array().cast(SPAN)))
     weak = F.concat(*[F.col(spare[k]) for k in (3, 4, 5)])
     base = F.sort_array(F.concat(*[F.col(spare[k]) for k in range(BASE)]))
-    out = out.select(*keep, base.alias("base"), weak.alias(extra), F.when(F.size(weak) > 0, F.sha2(t, 256)).alias(key))
+    out = out.select("_row", base.alias("base"), weak.alias(extra), F.when(F.size(weak) > 0, F.sha2(t, 256)).alias(key))
     out = stored(out, "secrets")
     parts = out.filter(F.col(key).isNotNull()).groupBy(key).agg(F.first("base").alias("base"), F.first(extra).alias(extra))
     parts = parts.select(key, F.explode(F.concat("base", extra)).alias("p")).select(key, "p.*")
     linked = linked_parts(parts, key, rules).groupBy(key).agg(F.collect_list(F.struct("s", "k", "e")).alias(f"{extra}_on"))
     out = out.join(linked.withColumnRenamed(key, f"{key}_r"), F.col(key) == F.col(f"{key}_r"), "left")
     findings = F.sort_array(F.concat("base", F.coalesce(F.col(f"{extra}_on").cast(SPAN), F.array().cast(SPAN))))
-    return out.select(*keep, "base", findings.alias("findings"))
+    return out.select("_row.*", "base", findings.alias("findings"))
 
 
 def written(found: Column) -> Column:
