@@ -5,18 +5,23 @@
 2. MinHash bands name candidate pairs.  A bucket's first member, in an order of hashes, is its pivot;
    the members of all of a pivot's buckets form its group.  Two classes are compared in the group of the
    smallest pivot that they share, so in one place only.
-3. A group is split into blocks and each pair of blocks is one task's unit, so a group of any size is
-   spread.  In it, MinHash values are compared step by step; a pair is dropped when the posterior
+3. A group within a block's bounds is compared in one task.  A larger one is cut into blocks by size level and
+   hash; each block goes once to a file in the shared folder, so what is shuffled grows with the group, not
+   with its pairs.  A unit is a block and the list of those that it is held against: they are read one after
+   the other, and blocks whose sizes cannot reach the threshold never meet.
+4. In a comparison MinHash values are compared step by step; a pair is dropped when the posterior
    probability that its Jaccard reaches the threshold falls below the tolerance; the rest is verified
    on the whole sets.  Out come counts of links and a spanning forest, never the pairs themselves.
-4. Forests merge into connected classes by rounds of star contraction on stored tables.
+5. Forests merge into connected classes by rounds of star contraction on stored tables.
 
-A pair at the threshold is missed by all 32 bands of 4 values with a probability of 5e-8; the tolerance
-adds at most 1e-6.
+Signatures are made once for each class and travel with its set.  A pair at the threshold is missed by all 32
+bands of 4 values with a probability of 5e-8, and dropped in one of the eight steps with one of 9e-6 (the
+tolerance bounds the posterior of a step, not the loss); pairs above it are lost far less often.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, NOT_WORD, ascii_lower, ship, stored
+from .common import BROADCAST_ROWS, NOT_WORD, ascii_lower, others, range_count, scratch_dir, shared_fs, ship, stored, whole_row
 
 
 @dataclass(frozen=True)
@@ -41,10 +46,27 @@ class JoinRules:
     step: int = 16
     #: A block holds about so many bytes of sets, and about so many classes at most.
     block_bytes: int = 1 << 20
-    block: int = 512
+    block: int = 1024
+    #: Classes of a block that are compared with another block at a time.
+    strip: int = 128
     seed: int = 20231
 
 
+def loss_at(similarity: float, rules: JoinRules = JoinRules()) -> float:
+    """The probability that a pair of this similarity is dropped before it is verified: an exact sum over the steps."""
+    from math import comb
+
+    alive, total = {0: 1.0}, rules.bands * rules.rows
+    for least in least_matches(rules.threshold, rules.tolerance, rules.step, total):
+        after: dict[int, float] = {}
+        for m, p in alive.items():
+            for k in range(rules.step + 1):
+                if m + k >= least:
+                    after[m + k] = after.get(m + k, 0.0) + p * comb(rules.step, k) * similarity**k * (1 - similarity) ** (rules.step - k)
+        alive = after
+    return 1.0 - sum(alive.values())
+
+
 @lru_cache(maxsize=8)
 def least_matches(threshold: float, tolerance: float, step: int, total: int) -> tuple[int, ...]:
     """For each number of compared values, the matches below which a pair is dropped.
@@ -134,19 +156,20 @@ def _bands(grams: np.ndarray, by: np.ndarray, rules: JoinRules) -> np.ndarray:
 
 
 def _grams_of(rules: JoinRules):
-    """Of each class once per task: its whole set."""
+    """Of each class once per task: its whole set and its signature."""
 
     def run(batches):
-        seen = set()
+        by, seen = _multipliers(rules), set()
         for batch in batches:
-            rows = {}
+            rows, signs = {}, []
             for w in _word_lists(batch.column(0)):
                 g = shingles(w, rules.words)
                 d = _digest(g)
                 if d not in seen:
                     seen.add(d)
                     rows[d] = g.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.binary())], names=["class", "grams"])
+                    signs.append(minhash(g, by).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array(list(rows.values()), pa.binary()), pa.array(signs, pa.binary())], names=["class", "grams", "sign"])
 
     return run
 
@@ -193,58 +216,149 @@ class Forest:
             self.kept.append((i, j))
 
 
-def _compared(rules: JoinRules):
-    """One pair of blocks: rows (class, other, n_links) with counts of a class's links, and forest edges."""
+class Block:
+    """Members of a group: names, copies, pivots, sets and signatures."""
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        pivot, first, second = (k.as_py() for k in key)
-        block = np.array(table.column("block").to_pylist())
-        names = table.column("class").to_pylist()
-        grams = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-        copies = np.array(table.column("copies").to_pylist(), np.int64)
-        pivots = [np.array(p, np.int64) for p in table.column("pivots").to_pylist()]
-        by = _multipliers(rules)
-        sign = np.stack([minhash(g, by) for g in grams])
-        a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        if first == second:
-            i, j = np.triu_indices(len(a), 1)
-            i, j = a[i], a[j]
-        else:
-            i, j = np.repeat(a, len(b)), np.tile(b, len(a))
+    def __init__(self, table: pa.Table):
+        self.names = table.column("class").to_pylist()
+        self.copies = np.array(table.column("copies").to_pylist(), np.int64)
+        self.pivots = [np.array(p, np.int64) for p in table.column("pivots").to_pylist()]
+        self.grams = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+        self.sizes = np.array([len(g) for g in self.grams], np.int64)
+        self.sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(len(self.names), -1)
+
+
+def linked(rules: JoinRules, pivot: int, a: Block, b: Block) -> np.ndarray:
+    """Pairs (i, j) of places in two blocks, or i < j in one, that reach the threshold and are compared in this group."""
+    found = []
+    lower_a, lower_b = (np.array([p[0] < pivot for p in x.pivots], bool) for x in (a, b))
+    for start in range(0, len(a.names), rules.strip):
+        i = np.arange(start, min(start + rules.strip, len(a.names)))
+        i, j = np.repeat(i, len(b.names)), np.tile(np.arange(len(b.names)), len(i))
         # sizes bound the Jaccard; then values are compared step by step
-        sizes = np.array([len(g) for g in grams])
-        lo, hi = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        lo, hi = np.minimum(a.sizes[i], b.sizes[j]), np.maximum(a.sizes[i], b.sizes[j])
         alive = lo >= rules.threshold * hi - 1e-9
+        if a is b:
+            alive &= i < j
         i, j = i[alive], j[alive]
         matched = np.zeros(len(i), np.int32)
-        for k, least in enumerate(least_matches(rules.threshold, rules.tolerance, rules.step, sign.shape[1])):
+        for k, least in enumerate(least_matches(rules.threshold, rules.tolerance, rules.step, a.sign.shape[1])):
             own = slice(k * rules.step, (k + 1) * rules.step)
-            matched += (sign[i, own] == sign[j, own]).sum(axis=1, dtype=np.int32)
+            matched += (a.sign[i, own] == b.sign[j, own]).sum(axis=1, dtype=np.int32)
             alive = matched >= least
             i, j, matched = i[alive], j[alive], matched[alive]
         # compared here only if this is the smallest pivot they share
-        lower = np.array([p[0] < pivot for p in pivots], bool)
-        mine = ~(lower[i] & lower[j])
+        mine = ~(lower_a[i] & lower_b[j])
         for k in np.flatnonzero(~mine):
-            mine[k] = np.intersect1d(pivots[i[k]], pivots[j[k]])[0] == pivot
+            mine[k] = np.intersect1d(a.pivots[i[k]], b.pivots[j[k]])[0] == pivot
         i, j = i[mine], j[mine]
-        both = overlaps(grams, np.stack([i, j], axis=1)) if len(i) else np.zeros(0, np.int64)
-        linked = both >= rules.threshold * (sizes[i] + sizes[j] - both) - 1e-9
-        i, j = i[linked], j[linked]
-        links = np.zeros(len(names), np.int64)
-        np.add.at(links, i, copies[j])
-        np.add.at(links, j, copies[i])
-        forest = Forest(len(names))
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            forest.join(x, y)
-        counted = np.flatnonzero(links)
-        return pa.table(
-            {
-                "class": pa.array([names[x] for x in counted] + [names[x] for x, _ in forest.kept], pa.binary()),
-                "other": pa.array([None] * len(counted) + [names[y] for _, y in forest.kept], pa.binary()),
-                "n_links": pa.array([*links[counted].tolist(), *[0] * len(forest.kept)], pa.int64()),
-            }
-        )
+        if not len(i):
+            continue
+        left, at_left = np.unique(i, return_inverse=True)
+        right, at_right = np.unique(j, return_inverse=True)
+        sets = [a.grams[x] for x in left] + [b.grams[x] for x in right]
+        both = overlaps(sets, np.stack([at_left, at_right + len(left)], axis=1))
+        there = both >= rules.threshold * (a.sizes[i] + b.sizes[j] - both) - 1e-9
+        found.append(np.stack([i[there], j[there]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+LINKS = "class binary, other binary, n_links long"
+
+
+def link_rows(a: Block, b: Block, pairs: np.ndarray) -> pa.Table:
+    """Rows (class, other, n_links): counts of classes' links (other null), and edges of a spanning forest."""
+    counts: dict[bytes, int] = {}
+    for block, own, other, places in ((a, 0, b, 1), (b, 1, a, 0)):
+        links = np.zeros(len(block.names), np.int64)
+        np.add.at(links, pairs[:, own], other.copies[pairs[:, places]])
+        for x in np.flatnonzero(links).tolist():
+            counts[block.names[x]] = counts.get(block.names[x], 0) + int(links[x])
+    shift = 0 if a is b else len(a.names)
+    names, forest = a.names if a is b else a.names + b.names, Forest(len(a.names) if a is b else len(a.names) + len(b.names))
+    for x, y in pairs.tolist():
+        forest.join(x, y + shift)
+    return pa.table(
+        {
+            "class": pa.array([*counts, *(names[x] for x, _ in forest.kept)], pa.binary()), "other": pa.array([*[None] * len(counts), *(names[y] for _, y in forest.kept)], pa.binary()),
+            "n_links": pa.array([*counts.values(), *[0] * len(forest.kept)], pa.int64()),
+        }
+    )
+
+
+def _compared(rules: JoinRules):
+    """A group within a block's bounds, as one table."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = Block(table)
+        return link_rows(block, block, linked(rules, key[0].as_py(), block, block))
+
+    return run
+
+
+def _block_files(folder: str):
+    """Rows sorted by block to one file of blocks; gives each block's place: (pivot, level, sub, path, at, n)."""
+
+    def run(batches):
+        import uuid
+
+        from pyspark import TaskContext
+
+        fs, root = shared_fs(folder)
+        fs.create_dir(root, recursive=True)
+        path = f"{root}/blocks-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.arrows"
+        at, key, held, places = 0, None, [], []
+        with fs.open_output_stream(path, compression=None) as out:
+
+            def flush():
+                nonlocal at, held
+                table = pa.Table.from_batches(held)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as writer:
+                    writer.write_table(table)
+                data = sink.getvalue()
+                out.write(data)
+                places.append((*key, path, at, data.size))
+                at, held = at + data.size, []
+
+            for batch in batches:
+                keys = list(zip(*(batch.column(c).to_pylist() for c in ("pivot", "level", "sub")), strict=True))
+                edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    if lo == hi:
+                        continue
+                    if held and keys[lo] != key:
+                        flush()
+                    key = keys[lo]
+                    held.append(batch.slice(lo, hi - lo))
+            if held:
+                flush()
+        if not places:
+            fs.delete_file(path)
+        columns = list(zip(*places, strict=True)) or [()] * 6
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["pivot", "level", "sub", "path", "at", "n"])
+
+    return run
+
+
+def _met(rules: JoinRules, folder: str):
+    """Units (pivot, own, others): a block against each on its list, read one after the other."""
+
+    def run(batches):
+        fs, _ = shared_fs(folder)
+
+        def block(place: dict) -> Block:
+            with fs.open_input_file(place["path"]) as file:
+                file.seek(place["at"])
+                return Block(pa.ipc.open_stream(file.read(place["n"])).read_all())
+
+        for batch in batches:
+            for pivot, own, others_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a = block(own)
+                for place in others_:
+                    b = a if place == own else block(place)
+                    yield from link_rows(a, b, linked(rules, pivot, a, b)).to_batches()
 
     return run
 
@@ -281,15 +395,16 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ru
     each class: the smallest id and, among rows that repeat it, the smallest text.
 
     Texts without words (null, empty) link to nothing: class_id is their own id, copy_class null.  Null ids
-    are above all others in a class.  Texts of fewer than five words are one shingle.  Equal rows are
-    copies.  An empty table gives an empty one; other columns stay, those named like results are replaced.
+    are above all others in a class.  Texts of fewer than five words are one shingle; a text of any length is
+    one set, of all its shingles.  Equal rows are copies.  An empty table gives an empty one; other columns stay
+    whatever their names, those named like results (in any case) are replaced.
     """
     ship(docs.sparkSession)
     new = ("copy_class", "class_id", "n_links", "first_of_class")
-    keep = [c for c in (docs.columns if columns is None else columns) if c not in new]
+    keep = others(docs if columns is None else columns, new)
     names = ["_row", "_id", "_text", "_no"]
     source = docs.select(
-        F.struct(*keep).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_text"),
+        whole_row(keep), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_text"),
         F.monotonically_increasing_id().alias("_no"), word_hashes(F.col(text)).alias("_words"),
     )
     schema = T.StructType([*source.drop("_words").schema.fields, T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
@@ -334,17 +449,37 @@ def candidate_groups(bands: DataFrame) -> DataFrame:
 
 
 def class_links(texts: DataFrame, classes: DataFrame, groups: DataFrame, rules: JoinRules) -> DataFrame:
-    """Stored rows (class, other, n_links): counts of a class's links in each unit (other null), and edges."""
+    """Stored rows (class, other, n_links): counts of a class's links (other null), to be summed, and edges."""
     members = stored(classes.join(groups, F.xxhash64("class") == F.col("h")).select("class", "first", "copies", "size", "pivots"), "members")
     wanted = members.select(F.col("first").alias("_first")).distinct()
     near = texts.join(F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted, F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
-    sets = near.select(word_hashes(F.col("_text")).alias("_words")).mapInArrow(_grams_of(rules), "class binary, grams binary")
-    each = members.select("class", "size", F.explode("pivots").alias("pivot"))
-    by_bytes, by_count = F.ceil(F.sum(F.col("size") * 8) / rules.block_bytes), F.ceil(F.count(F.lit(1)) / rules.block)
-    blocks = each.groupBy("pivot").agg(F.greatest(by_bytes, by_count).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("class", F.lit(rules.seed)), F.col("blocks")).cast("int")
-    units = each.join(blocks, "pivot").withColumn("block", own).select("class", "pivot", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    units = units.select("class", "pivot", "block", F.least("block", "with").alias("first_block"), F.greatest("block", "with").alias("second_block"))
-    filled = members.select("class", "copies", "pivots").join(sets.dropDuplicates(["class"]), "class").join(units, "class")
-    compared = filled.groupBy("pivot", "first_block", "second_block").applyInArrow(_compared(rules), "class binary, other binary, n_links long")
+    sets = near.select(word_hashes(F.col("_text")).alias("_words")).mapInArrow(_grams_of(rules), "class binary, grams binary, sign binary")
+    # sizes that can reach the threshold together are of the same level or of neighbouring ones
+    level = F.floor(F.log(F.col("size").cast("double")) / math.log((1 + 1e-6) / rules.threshold)).cast("int")
+    each = members.select("class", level.alias("level"), "size", F.explode("pivots").alias("pivot"))
+
+    def blocks(*keys: str) -> DataFrame:
+        by_bytes, by_count = F.ceil(F.sum(F.col("size") * 8) / rules.block_bytes), F.ceil(F.count(F.lit(1)) / rules.block)
+        return each.groupBy(*keys).agg(F.greatest(by_bytes, by_count).cast("int").alias("blocks"))
+
+    groups_ = blocks("pivot").select("pivot", (F.col("blocks") > 1).alias("large"))
+    placed = each.join(groups_, "pivot").join(blocks("pivot", "level"), ["pivot", "level"])
+    sub = F.pmod(F.xxhash64("class", F.lit(rules.seed)), F.col("blocks")).cast("int")
+    placed = placed.select("class", "pivot", "large", "level", sub.alias("sub"))
+    filled = members.select("class", "copies", "pivots").join(sets.dropDuplicates(["class"]), "class").join(placed, "class")
+    filled = stored(filled.select("pivot", "large", "level", "sub", "class", "copies", "pivots", "grams", "sign"), "filled")
+    small = filled.filter("NOT large").drop("large", "level", "sub").groupBy("pivot").applyInArrow(_compared(rules), LINKS)
+    large = filled.filter("large").drop("large")
+    folder = scratch_dir(texts.sparkSession, "blocks")
+    keys = ["pivot", "level", "sub"]
+    files = large.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_block_files(folder), "pivot long, level int, sub int, path string, at long, n long")
+    places = stored(files, "places").select("pivot", "level", "sub", F.struct("path", "at", "n").alias("place"))
+    with_ = places.select("pivot", F.col("level").alias("level_"), F.col("sub").alias("sub_"), F.col("place").alias("place_"))
+    met = places.join(with_, "pivot").filter((F.abs(F.col("level") - F.col("level_")) <= 1) & (F.struct("level", "sub") <= F.struct(F.col("level_").alias("level"), F.col("sub_").alias("sub"))))
+    turned = F.pmod(F.xxhash64("pivot", "level", "sub", "level_", "sub_"), F.lit(2)) == 0  # either block may hold the pair: units are even
+    units = met.select("pivot", F.when(turned, F.col("place")).otherwise(F.col("place_")).alias("own"), F.when(turned, F.col("place_")).otherwise(F.col("place")).alias("other"))
+    units = stored(units.groupBy("pivot", "own").agg(F.collect_list("other").alias("others")), "units")
+    n = units.count()
+    spread = units.repartition(range_count(units.sparkSession, n, 4, 1)) if n else units
+    compared = small.unionByName(spread.mapInArrow(_met(rules, folder), LINKS)) if n else small
     return stored(compared, "links")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sitlake.llm import queries as q
 from sitlake.llm.common import read
 from sitlake.llm.decontaminate import LeakRules, decontaminate
-from sitlake.llm.jaccard_join import JoinRules, class_links, jaccard_join, least_matches, overlaps
+from sitlake.llm.jaccard_join import JoinRules, class_links, jaccard_join, least_matches, loss_at, overlaps
 from sitlake.llm.license_rules import RULES
 from sitlake.llm.license_scan import Detection, license_scan, resolve
 from sitlake.llm.line_dedup import Bloom, LineRules, line_dedup
@@ -192,7 +192,7 @@ def near_copies(n=60, size=150):
     return out
 
 
-@pytest.mark.parametrize("rules", [JoinRules(), JoinRules(block=7, block_bytes=4096)])
+@pytest.mark.parametrize("rules", [JoinRules(), JoinRules(block=7, block_bytes=4096, strip=3), JoinRules(block=1)])
 def test_jaccard_join(spark, none, rules):
     rows = [r for r in ODD if r[0] not in (None, 5, 10)] + near_copies() + [(900, ODD[-1][1]), (901, LONG)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_links string").repartition(3)
@@ -221,6 +221,7 @@ def test_jaccard_query(spark, small):
 def test_posterior_bounds_grow():
     least = least_matches(0.8, 1e-6, 16, 128)
     assert list(least) == sorted(least) and 0 < least[0] < 16 and least[-1] < 0.8 * 128
+    assert 8e-6 < loss_at(0.8) < 9e-6 and loss_at(0.85) < 2e-7
 
 
 def test_overlaps_both_ways():
