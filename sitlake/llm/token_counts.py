@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_rows, others, ship, stored, utf8
+from .common import few_rows, others, ship, stored, utf8, whole_row
 from .tokens import ByteCounts, kept
 
 #: A content is hot above this many rows, and above one row in so many of all: so at most HOT_SHARE are.
@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, rules: CountRules, text: str = "text", columns
     version = tokenizer_version(rules.tokenizer)
     keep = others(docs if columns is None else columns, ("n_bytes", "n_tokens", "over_limit"))
     filled = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.octet_length(filled).cast("long").alias("n_bytes"), F.unhex(F.sha2(filled, 256)).alias("digest"))
+    rows = docs.select(whole_row(keep), F.octet_length(filled).cast("long").alias("n_bytes"), F.unhex(F.sha2(filled, 256)).alias("digest"))
     rows = stored(rows, "digests")
     contents = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "contents")
     fill_cache(docs, contents, rules, version, text)

@@ -179,8 +179,10 @@ class _Recent(OrderedDict):
 class Lookup:
     """Captures by key from the top list of index files, each (first, last, path, at, n)."""
 
-    def __init__(self, folder: str, top: list[tuple]):
+    def __init__(self, folder: str, top: list[tuple], gap: int = 1 << 16, span: int = 8 << 20):
+        """gap: bytes between two records that are read rather than skipped; span: bytes of one read at most, unless a record is longer."""
         fs, _ = shared_fs(folder)
+        self.gap, self.span = gap, span
         self.top, self.lasts = top, [x[1] for x in top]
         self.files = _Recent(16, lambda path: fs.open_input_file(path))
         self.directories = _Recent(4, lambda path, at, n: json.loads(zlib.decompress(self.range(path, at, n))))
@@ -205,16 +207,25 @@ class Lookup:
             yield from block[i : bisect_right(block, key, key=lambda x: x[0])]
             b += 1
 
-    def records(self, key: str):
-        for _, path, at, n in self.lines(key):
-            yield parse_record(zlib.decompress(self.range(path, int(at), int(n)), 31))
+    def records(self, keys: list[str]):
+        """Records of sorted keys; look-ups that lie near each other in a file are read as one range."""
+        wanted = sorted({(path, int(at), int(n)) for key in keys for _, path, at, n in self.lines(key)})
+        first = 0
+        for k in range(1, len(wanted) + 1):
+            path, start, _ = wanted[first]
+            if k < len(wanted) and wanted[k][0] == path and wanted[k][1] - sum(wanted[k - 1][1:]) <= self.gap and sum(wanted[k][1:]) - start <= self.span:
+                continue
+            data = self.range(path, start, sum(wanted[k - 1][1:]) - start)
+            for _, at, n in wanted[first:k]:
+                yield parse_record(zlib.decompress(data[at - start : at - start + n], 31))
+            first = k
 
 
 def _found(folder: str, top, schema: pa.Schema):
     def run(batches):
         lookup = Lookup(folder, top.value)
         for batch in batches:
-            rows = [r for key in batch.column(0).to_pylist() for r in lookup.records(key)]
+            rows = list(lookup.records(batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
@@ -237,7 +248,8 @@ def write_warc(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
 
     Null html is an empty payload; null URLs share the key of an empty one.  Of equal payloads of at least
     ``least`` bytes the row with the largest page id is the response (all rows with that id, if it repeats;
-    null ids are below all others), the rest revisit it.  An empty table gives no file.
+    null ids are below all others), the rest revisit it.  A page of any length is one record.  An empty table
+    gives no file; other columns of pages, whatever their names, have no effect.
     """
     spark = pages.sparkSession
     ship(spark)

@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sitlake.llm import queries as q
-from sitlake.llm.common import read
+from sitlake.llm.common import read, scratch_dir
 from sitlake.llm.decontaminate import LeakRules, decontaminate
-from sitlake.llm.jaccard_join import JoinRules, class_links, jaccard_join, least_matches, loss_at, overlaps
+from sitlake.llm.jaccard_join import JoinRules, jaccard_join, least_matches, loss_at, overlaps
 from sitlake.llm.license_rules import RULES
 from sitlake.llm.license_scan import Detection, license_scan, resolve
 from sitlake.llm.line_dedup import Bloom, LineRules, line_dedup
@@ -28,7 +28,7 @@ from ..conftest import DATA
 from . import brute
 
 WORDS = [f"w{i}" for i in range(400)]
-LONG = " ".join(random.Random(5).choices(WORDS, k=6000))
+LONG = " ".join(random.Random(5).choices(WORDS, k=25_000))
 LINE = "this line stands in many documents of the table"
 #: Null, empty and blank texts, repeated rows, ties, a very long text, other scripts, and shared lines.
 ODD = [
@@ -293,8 +293,23 @@ def test_mix_meets_its_targets(spark, rules):
 def test_long_documents_are_likelier(spark):
     rows = [(i, "a", 60 if i % 2 else 40, "") for i in range(4000)] + [(9999, "b", 10**6, "")]
     got = [r for r in mixed(spark, rows, MixRules(weights=(1.0, 9.0), share=1.0)) if r["source"] == "a"]
-    share = [np.mean([r["copies"] % 2 if r["copies"] < 2 else 0 for r in got if (r["size"] == s)]) for s in (60, 40)]
-    assert share[0] > share[1] or {r["copies"] for r in got} <= {1, 2}
+    target, total = got[0]["target"], got[0]["source_size"]
+    sure = int(target / total)
+    share = [np.mean([r["copies"] - sure for r in got if r["size"] == s]) for s in (60, 40)]
+    # inclusion odds of 2 to 1 by level: factor * (2 * words of long + words of short) = what is left
+    factor = (target - sure * total) / (2 * 60 * 2000 + 40 * 2000)
+    assert 0.1 < factor < 0.5 and share[0] == pytest.approx(2 * factor, abs=0.04) and share[1] == pytest.approx(factor, abs=0.04)
+
+
+def test_inclusion_odds_over_many_seeds(spark):
+    rows = [(i, "a", 60 if i % 2 else 40, "") for i in range(60)] + [(999, "b", 10**5, "")]
+    rules = [MixRules(weights=(1.0, 70.0), share=1.0, seed=f"s{k}") for k in range(12)]
+    taken = [r for x in rules for r in mixed(spark, rows, x) if r["source"] == "a"]
+    factor = (taken[0]["target"] % taken[0]["source_size"]) / (2 * 60 * 30 + 40 * 30)
+    sure = int(taken[0]["target"] / taken[0]["source_size"])
+    for size, level in ((60, 2), (40, 1)):
+        share = np.mean([r["copies"] - sure for r in taken if r["size"] == size])
+        assert share == pytest.approx(min(1, level * factor), abs=0.12)
 
 
 def test_mix_on_odd_rows(spark):
@@ -382,7 +397,38 @@ def test_record_round_trip():
 
 # all
 
+#: Each operator over documents, with the columns that it adds.
+OPERATORS = {
+    "line_dedup": (line_dedup, ("n_lines", "n_dropped", "kept_text")),
+    "license_scan": (license_scan, ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")),
+    "decontaminate": (lambda df: decontaminate(df, df.select(F.col("doc_id").alias("item_id"), "text").limit(3)), ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "item_ids", "clean_text")),
+    "jaccard_join": (jaccard_join, ("copy_class", "class_id", "n_links", "first_of_class")),
+    "secret_scan": (secret_scan, ("base", "findings")),
+    "mix": (lambda df: mix(df, size="mark"), ("source_size", "target", "copies", "taken")),
+    "quality_rules": (quality_rules, ("quality", "kept")),
+    "token_counts": (lambda df: token_counts(df, CountRules(tokenizer=q.tokenizer_path("byte_bpe_50k.json"), cache=scratch_dir(df.sparkSession, "counts"))), ("n_bytes", "n_tokens", "over_limit")),
+}
+#: Names that operators might use themselves.
+HIDDEN = ["_row", "_text_", "_id_", "_spans_", "_items_", "_key", "_q", "_host", "_no", "_id", "_text", "_words", "id", "at", "word", "digest", "class", "item", "gram", "_source", "_size", "src", "rest", "a.b", "odd `name`"]
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_columns_with_clashing_names(docs, name):
+    operator, results = OPERATORS[name]
+    own = docs.withColumn("mark", F.xxhash64("doc_id", "text", "n_chars") % 1000 + 1000)
+    more = own.select("*", *[F.lit(k).alias(c) for k, c in enumerate(HIDDEN)], *[F.lit("old").alias(r.upper()) for r in results])
+    got, plain = operator(more), operator(own)
+    assert [c.lower() for c in got.columns] == [c.lower() for c in [*own.columns, *HIDDEN, *results]]
+    for k, c in enumerate(HIDDEN):
+        assert got.filter(F.col("`" + c.replace("`", "``") + "`") != k).isEmpty()
+    if name != "decontaminate":  # its items are any three rows
+        assert multiset(got.select("mark", *results).collect()) == multiset(plain.select("mark", *results).collect())
+    assert got.count() == len(ODD) and operator(more.filter("false")).isEmpty()
+
 
 def test_queries_keep_every_row(spark):
-    assert {n.split("_")[0] for n in q.queries()} == {f"op{i}" for i in range(1, 11)}
-    assert class_links is not None
+    names = {n.split("_")[0]: n for n in q.queries()}
+    assert set(names) == {f"op{i}" for i in range(1, 11)}
+    docs, pages = read(spark, DATA, "documents").count(), read(spark, DATA, "pages").count()
+    for n, name in names.items():
+        assert q.queries()[name](spark, DATA).count() == (pages if n == "op10" else docs)
