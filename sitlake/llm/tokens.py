@@ -41,8 +41,9 @@ _KINDS, _LOWER = _KIND.tobytes(), bytes(c + 32 if 65 <= c <= 90 else c for c in
 
 #: A run of non-space with the one space before it, or space as the byte-level rule cuts it.
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Latin, Greek but the sigma that has a final form, Cyrillic, kana, ideographs, Hangul syllables.
-_SETTLED = re.compile("[A-Za-z\u00c0-\u024f\u0386-\u03a1\u03a4-\u03ce\u0400-\u0481\u048a-\u0523\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
+#: Latin but the dotted capital I, whose lower case is a letter and a mark, Greek but the sigma that has a final form,
+#: Cyrillic, kana, ideographs, Hangul syllables.
+_SETTLED = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u024f\u0386-\u03a1\u03a4-\u03ce\u0400-\u0481\u048a-\u0523\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
 #: Bytes that do not show themselves stand at 256 and after it, in order.
 _HIDDEN = [*range(33), *range(127, 161), 173]
 _SHOWN = [chr(256 + _HIDDEN.index(c)) if c in _HIDDEN else chr(c) for c in range(256)]

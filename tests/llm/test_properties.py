@@ -60,6 +60,15 @@ def test_pieces_give_the_library_ids(tokenizers, monkeypatch, size):
     check()
 
 
+def test_each_character_of_settled_blocks_gives_the_library_ids(tokenizers):
+    words, counts = tokenizers
+    blocks = [*range(1, 0x600), *range(0x1E00, 0x2100), *range(0x3040, 0x3100), *range(0x4E00, 0x9FB0, 37), *range(0xAC00, 0xD7A4, 53)]
+    texts = [f"a{c}b {c}, {c}9 ,{c}{c.upper()}A. Z{c} {c}'s.{c}" for c in map(chr, blocks)]
+    array = pa.array(texts)
+    assert [x.tolist() for x in words(array)] == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts(array).tolist() == [len(counts.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_memo_is_bounded_and_right():
     made = []
     memo = Memo(lambda k: made.append(k) or k.upper(), len, most=20 * tokens.ENTRY)
