@@ -15,15 +15,18 @@ WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 ESCAPE = 14
 BLOCK = 512
 _LIMITS = np.array([(1 << int(w)) - 1 for w in WIDTHS], np.uint64)
+#: The first selector whose width fits, of each value of 16 bits.
+_NEED = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64)).astype(np.uint8)
 
 
 def _selectors(values: np.ndarray, block: int) -> np.ndarray:
     """At each place, the selector of the word that would start there: the most values that fit and end in the block."""
     n = len(values)
-    need = np.searchsorted(_LIMITS, values).astype(np.uint8)  # ESCAPE where no width fits
-    left = block - np.arange(n) % block
-    left = np.minimum(left, n - np.arange(n))
-    best = np.full(n, 255, np.uint8)
+    need = _NEED[values] if values.max() < len(_NEED) else np.searchsorted(_LIMITS, values).astype(np.uint8)  # ESCAPE where no width fits
+    left = np.resize(np.minimum(np.arange(block, 0, -1), 255).astype(np.uint8), n)  # no word holds 255 values
+    tail = n % block or block
+    left[n - tail :] = np.minimum(np.arange(tail, 0, -1), 255)
+    best = np.full(n, ESCAPE, np.uint8)
     top = {1: need}
     for size in (2, 4, 8, 16, 32):  # maxima of runs of so many values
         half = top[size // 2]
@@ -43,9 +46,7 @@ def _selectors(values: np.ndarray, block: int) -> np.ndarray:
             shifted = np.full(n, 255, np.uint8)
             shifted[: max(n - (c - p), 0)] = most[c - p :][: max(n - (c - p), 0)]
             most = np.maximum(most, shifted)
-        ok = (most <= s) & (left >= c)
-        best[ok] = s
-    best[best == 255] = ESCAPE
+        np.copyto(best, np.uint8(s), where=(most <= s) & (left >= c))
     return best
 
 

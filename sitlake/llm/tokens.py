@@ -8,6 +8,8 @@ plain ASCII go to the library whole, as do texts with special strings.
 
 from __future__ import annotations
 
+import codecs
+import os.path
 import re
 import struct
 import sys
@@ -43,10 +45,14 @@ _KINDS, _LOWER = _KIND.tobytes(), bytes(c + 32 if 65 <= c <= 90 else c for c in
 _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Latin but the dotted capital I, whose lower case is a letter and a mark, Greek but the sigma that has a final form,
 #: Cyrillic, kana, ideographs, Hangul syllables.
-_SETTLED = re.compile("[A-Za-z\u00c0-\u012f\u0131-\u024f\u0386-\u03a1\u03a4-\u03ce\u0400-\u0481\u048a-\u0523\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
+_LETTERS = "A-Za-z\u00c0-\u012f\u0131-\u024f\u0386-\u03a1\u03a4-\u03ce\u0400-\u0481\u048a-\u0523\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_SETTLED = re.compile(f"[{_LETTERS}]+")
+#: Settled letters beside digits and other printed ASCII but the apostrophe, and how the word rule cuts them.
+_MIXED = re.compile(f"[{_LETTERS}0-9!-&(-~]+")
+_RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 #: Bytes that do not show themselves stand at 256 and after it, in order.
 _HIDDEN = [*range(33), *range(127, 161), 173]
-_SHOWN = [chr(256 + _HIDDEN.index(c)) if c in _HIDDEN else chr(c) for c in range(256)]
+_SHOWN = "".join(chr(256 + _HIDDEN.index(c)) if c in _HIDDEN else chr(c) for c in range(256))
 #: White space of Python's str that is none for the tokenizers' \s.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -182,14 +188,28 @@ def letters(text: str) -> bool:
     return _SETTLED.fullmatch(text) is not None and text.isalpha()
 
 
+def settled_runs(text: str) -> list[str] | None:
+    """A piece cut by the word rule, if it is all settled letters and printed ASCII without an apostrophe."""
+    if _MIXED.fullmatch(text) is None or not is_normalized("NFC", text):
+        return None
+    if text.isalpha():
+        return [text]
+    runs = _RUNS.findall(text)
+    return runs if all(r.isalpha() or r.isascii() for r in runs) else None  # there are signs among the letters' blocks
+
+
 def shown(piece: bytes) -> str:
     """Bytes as the characters that stand for them in byte-level vocabularies."""
-    return "".join(map(_SHOWN.__getitem__, piece))
+    return codecs.charmap_decode(piece, "strict", _SHOWN)[0]
 
 
 def has_any(texts: pa.Array, strings: list[str]) -> np.ndarray:
-    """Which texts hold one of some strings."""
+    """Which texts hold one of some strings; their common start is looked for in all bytes first."""
     out = np.zeros(len(texts), bool)
+    texts = texts.cast(pa.string())
+    start, buffer = os.path.commonprefix(strings).encode(), texts.buffers()[2]
+    if not strings or buffer is None or start not in buffer.to_pybytes():
+        return out
     for s in strings:
         out |= pc.match_substring(texts, s).fill_null(False).to_numpy(zero_copy_only=False)
     return out
@@ -231,11 +251,12 @@ class WordIds(_Texts):
 
     def made(self, piece: bytes) -> bytes:
         text = piece.decode("utf-8", "surrogatepass")
-        if not piece.isalpha() and not plain(text):
-            if not letters(text) or not is_normalized("NFC", text):
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            text = shown(text.lower().encode())
-        ids = [t.id for t in self.model.tokenize(text)]
+        if piece.isalpha() or plain(text):
+            ids = [t.id for t in self.model.tokenize(text)]
+        elif (runs := settled_runs(text)) is not None:
+            ids = [t.id for run in runs for t in self.model.tokenize(shown(run.lower().encode()))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
