@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
+import sys
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +79,38 @@ def whole_row(columns: list[str], name: str = "_row") -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns]).alias(name)
 
 
+def held(name: str) -> dict:
+    """What a worker keeps from task to task for one kind of work; that of other kinds goes."""
+    everything = sys.__dict__.setdefault("_sitlake_held", {})
+    for other in [k for k in everything if k != name]:
+        del everything[other]
+    return everything.setdefault(name, {})
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the machine: allocators keep most of it otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def lean(run, name: str = ""):
+    """A function over batches; before it, the worker drops what other kinds of work keep, and after it, it gives memory back."""
+
+    @wraps(run)
+    def task(batches):
+        held(name)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}

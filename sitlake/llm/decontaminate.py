@@ -14,7 +14,6 @@ A worker holds one slice at a time: it gathers documents of a bounded size and l
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few_rows, others, scratch_dir, shared_fs, ship, stored, whole_row, with_small, words_of
+from .common import few_rows, held, lean, others, scratch_dir, shared_fs, ship, stored, whole_row, with_small, words_of
+
+
+#: The kind of work that keeps a slice of windows.
+SLICE = "slice"
 
 
 @dataclass(frozen=True)
@@ -85,7 +88,7 @@ def word_counts(texts: DataFrame, words: DataFrame, rules: LeakRules) -> DataFra
     vocabulary = None
     if words.limit(rules.vocabulary + 1).count() <= rules.vocabulary:
         vocabulary = spark.sparkContext.broadcast(frozenset(w.encode("utf-8", "surrogatepass") for w in words.toArrow().column(0).to_pylist()))
-    counted = texts.mapInArrow(_counts(vocabulary, rules.vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(lean(_counts(vocabulary, rules.vocabulary)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return stored(counted if vocabulary is not None else counted.join(words, "word", "left_semi"), "counts")
 
 
@@ -96,7 +99,7 @@ def window_slices(texts: DataFrame, benchmark: DataFrame, rules: LeakRules, text
     """
     spark = texts.sparkSession
     named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
-    grams = stored(named.mapInArrow(_windows(rules), "item string, gram string").distinct(), "windows")
+    grams = stored(named.mapInArrow(lean(_windows(rules)), "item string, gram string").distinct(), "windows")
     n = grams.count()
     if not n:
         return []
@@ -121,7 +124,7 @@ def prefixes(grams: dict[bytes, tuple[int, int]]) -> dict[bytes, list[tuple[int,
 
 def loaded(folder: str) -> tuple[dict, dict]:
     """(windows with their items, prefixes) of a slice; the worker keeps the last one it has loaded."""
-    last = sys.__dict__.setdefault("_sitlake_slice", {})
+    last = held(SLICE)
     if folder not in last:
         last.clear()
         from pyarrow import fs as pafs
@@ -194,8 +197,8 @@ def _joined(slices: list[str], rules: LeakRules):
     import hashlib
 
     def run(batches):
-        for held in _held(batches, rules.held_bytes) if len(slices) > 1 else few_rows(batches):
-            texts = held.column(1).to_pylist()
+        for rows in _held(batches, rules.held_bytes) if len(slices) > 1 else few_rows(batches):
+            texts = rows.column(1).to_pylist()
             spans: list[list[tuple[int, int]]] = [[] for _ in texts]
             items: list[set[str]] = [set() for _ in texts]
             n_words = [0] * len(texts)
@@ -214,7 +217,7 @@ def _joined(slices: list[str], rules: LeakRules):
             dirty = [h > 0 and rules.hit_factor * h >= n for h, n in zip(n_hit, n_words, strict=True)]
             clean = [without_spans(t, m) if m else t for t, m in zip(texts, flat, strict=True)] if rules.cut else [None] * len(flat)
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            row = held.column(0)
+            row = rows.column(0)
             results = [
                 row if isinstance(row, pa.Array) else row.combine_chunks(), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in named], pa.int64()),
                 pa.array(digest, pa.string()), pa.array(dirty, pa.bool_()), pa.array(flat, span), pa.array(named, pa.list_(pa.string())), pa.array(clean, pa.string()),
@@ -244,4 +247,4 @@ def decontaminate(
     rows = docs.select(whole_row(keep), F.col(doc_text).alias("text"))
     slices = window_slices(rows.select("text"), benchmark, rules, item_text, item)
     schema = T.StructType([rows.schema["_row"], *T._parse_datatype_string(_RESULT_TYPES).fields])
-    return rows.mapInArrow(_joined(slices, rules), schema).select("_row.*", *RESULTS)
+    return rows.mapInArrow(lean(_joined(slices, rules), SLICE), schema).select("_row.*", *RESULTS)

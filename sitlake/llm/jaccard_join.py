@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, NOT_WORD, ascii_lower, others, range_count, scratch_dir, shared_fs, ship, stored, whole_row
+from .common import BROADCAST_ROWS, NOT_WORD, ascii_lower, held, lean, others, range_count, scratch_dir, shared_fs, ship, stored, whole_row
 
 
 @dataclass(frozen=True)
@@ -290,6 +290,7 @@ def _compared(rules: JoinRules):
     """A group within a block's bounds, as one table."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        held("")
         block = Block(table)
         return link_rows(block, block, linked(rules, key[0].as_py(), block, block))
 
@@ -408,7 +409,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ru
         F.monotonically_increasing_id().alias("_no"), word_hashes(F.col(text)).alias("_words"),
     )
     schema = T.StructType([*source.drop("_words").schema.fields, T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
-    rows = stored(source.mapInArrow(_classes(rules, names), schema), "classes")
+    rows = stored(source.mapInArrow(lean(_classes(rules, names)), schema), "classes")
     known = rows.filter(F.col("class").isNotNull())
     classes = stored(known.groupBy("class").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size")), "copies")
     bands = known.filter(F.col("bands").isNotNull()).select(F.xxhash64("class").alias("h"), F.explode("bands").alias("band")).distinct()
@@ -453,7 +454,7 @@ def class_links(texts: DataFrame, classes: DataFrame, groups: DataFrame, rules:
     members = stored(classes.join(groups, F.xxhash64("class") == F.col("h")).select("class", "first", "copies", "size", "pivots"), "members")
     wanted = members.select(F.col("first").alias("_first")).distinct()
     near = texts.join(F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted, F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
-    sets = near.select(word_hashes(F.col("_text")).alias("_words")).mapInArrow(_grams_of(rules), "class binary, grams binary, sign binary")
+    sets = near.select(word_hashes(F.col("_text")).alias("_words")).mapInArrow(lean(_grams_of(rules)), "class binary, grams binary, sign binary")
     # sizes that can reach the threshold together are of the same level or of neighbouring ones
     level = F.floor(F.log(F.col("size").cast("double")) / math.log((1 + 1e-6) / rules.threshold)).cast("int")
     each = members.select("class", level.alias("level"), "size", F.explode("pivots").alias("pivot"))
@@ -472,7 +473,7 @@ def class_links(texts: DataFrame, classes: DataFrame, groups: DataFrame, rules:
     large = filled.filter("large").drop("large")
     folder = scratch_dir(texts.sparkSession, "blocks")
     keys = ["pivot", "level", "sub"]
-    files = large.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_block_files(folder), "pivot long, level int, sub int, path string, at long, n long")
+    files = large.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(_block_files(folder)), "pivot long, level int, sub int, path string, at long, n long")
     places = stored(files, "places").select("pivot", "level", "sub", F.struct("path", "at", "n").alias("place"))
     with_ = places.select("pivot", F.col("level").alias("level_"), F.col("sub").alias("sub_"), F.col("place").alias("place_"))
     met = places.join(with_, "pivot").filter((F.abs(F.col("level") - F.col("level_")) <= 1) & (F.struct("level", "sub") <= F.struct(F.col("level_").alias("level"), F.col("sub_").alias("sub"))))
@@ -481,5 +482,5 @@ def class_links(texts: DataFrame, classes: DataFrame, groups: DataFrame, rules:
     units = stored(units.groupBy("pivot", "own").agg(F.collect_list("other").alias("others")), "units")
     n = units.count()
     spread = units.repartition(range_count(units.sparkSession, n, 4, 1)) if n else units
-    compared = small.unionByName(spread.mapInArrow(_met(rules, folder), LINKS)) if n else small
+    compared = small.unionByName(spread.mapInArrow(lean(_met(rules, folder)), LINKS)) if n else small
     return stored(compared, "links")

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few_rows, range_count, scratch_dir, shared_fs, ship, stored
+from .common import few_rows, lean, range_count, scratch_dir, shared_fs, ship, stored
 from .simple8b import decode, encode
-from .tokens import WordIds, kept
+from .tokens import HOLDER, WordIds, kept
 
 MAGIC = b"SIM8B\x00\x01\n"
 _HEAD = struct.Struct("<4Q")  # documents, ids, blocks, words of a segment
@@ -194,10 +194,10 @@ def write_tokens(docs: DataFrame, rules: TokenRules, text: str = "text", doc_id:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     dealt = ranges(rows.select("doc_id", "hash"), range_count(spark, docs.select(doc_id).count(), rules.file_rows))
-    ids = rows.mapInArrow(_encoder(rules, dealt), ENCODED)
+    ids = rows.mapInArrow(lean(_encoder(rules, dealt), HOLDER), ENCODED)
     files = max(1, len(dealt.nulls) + len(dealt.ids))
     ranged = ids.repartitionById(files, "range").sortWithinPartitions("doc_id", "hash", "ids").select("doc_id", "wide", "ids")
-    return folder, stored(ranged.mapInArrow(_writer(folder, rules), MANIFEST), "manifest")
+    return folder, stored(ranged.mapInArrow(lean(_writer(folder, rules)), MANIFEST), "manifest")
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -207,4 +207,4 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     starts = np.cumsum([0, *[f["n_ids"] for f in files]]).tolist()
     rows = [(f["path"], at) for f, at in zip(files, starts, strict=False)]
     paths = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
-    return paths.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return paths.mapInArrow(lean(_reader(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")

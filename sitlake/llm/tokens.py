@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 #: Bytes of text that are cut at once, about; a longer text is cut in fragments.
 SLICE = 1 << 21
 #: Bytes of a memo's two generations together, and the longest piece that enters it.
@@ -320,10 +322,15 @@ class ByteCounts(_Texts):
         return out
 
 
+#: The kind of work that keeps a tokenizer.
+HOLDER = "tokenizer"
+
+
 def kept(kind: type, path: str):
-    """One tokenizer of a kind and path for the life of a worker."""
-    cache = sys.__dict__.setdefault("_sitlake_tokenizers", {})
+    """One tokenizer of a kind and path for as long as a worker tokenizes."""
+    cache = held(HOLDER)
     key = (kind.__name__, path)
     if key not in cache:
+        cache.clear()
         cache[key] = kind(path)
     return cache[key]
